@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -102,6 +103,8 @@ class Scratch:
         """Write, and read back with the same schema."""
         where = self.path(what)
         df.write.parquet(where)
+        gc.collect()
+        self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of plans that are done with
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *tables: DataFrame) -> None:

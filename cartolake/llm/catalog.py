@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, licenses, line_dedup, ngram_join, packing, quality, toxicity, urls
+from . import decontaminate, html, licenses, line_dedup, ngram_join, packing, quality, toxicity, urls
 from .common import read
 
 
@@ -45,10 +45,20 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hamming")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -57,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_license_scan": op8_license_scan,
+    "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op2_quality_rules": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op9_decontamination": decontaminate.SQL, "op2_quality_rules": quality.SQL}

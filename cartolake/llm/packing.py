@@ -14,7 +14,9 @@ A null or empty text is one piece holding just the end id. Repeated rows are pie
 
 from __future__ import annotations
 
+import os
 import struct
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,45 +38,107 @@ class PackingParams:
     #: Pieces longer than this share of the capacity are large; so many groups of equal cardinality.
     large_share: float = 0.2
     groups: int = 64
-    #: Words whose ids each worker remembers.
-    cache_words: int = 400_000
+    #: Words whose ids each worker remembers, and twice as many parts.
+    cache_words: int = 250_000
 
 
 class WordTokens:
     """Ids of whole texts, put together from those of their words. This vocabulary's splitter never joins what white space parts
-    and drops the white space itself, so the ids of a text are those of its words in a row."""
+    and drops the white space itself, so the ids of a text are those of its words in a row; and those of a word are those of its
+    parts (letters, a digit, other signs). Words and parts already met are looked up; only new parts are encoded."""
+
+    #: One for each worker process, which serves many tasks: the file is read once, and words stay known.
+    _own: dict = {}
+    #: The splitter's pattern, after lower-casing; a word that holds anything besides these classes is encoded whole.
+    _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[\p{P}\p{S}\p{M}]+")
+    _PLAIN = regex.compile(r"[\p{L}\p{N}\p{P}\p{S}\p{M}]+")
 
     def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.seen = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.words, self.parts = Tokenizer.from_file(path), limit, {}, {}
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @classmethod
+    def of_worker(cls, path: str, limit: int) -> WordTokens:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if (path, limit) not in cls._own:
+            cls._own[path, limit] = cls(path, limit)
+        return cls._own[path, limit]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.encode(texts, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of new parts, encoded in one string: each part's last token is marked as a word's end in the vocabulary."""
+        plain = [x for x in parts if self._PLAIN.fullmatch(x)]
+        ids = np.array(self._one(" ".join(plain)), "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(plain):
+            return dict(zip(parts, self._encode(parts), strict=True))
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out = {x: raw[at[i] : at[i + 1]] for i, x in enumerate(plain)}
+        rest = [x for x in parts if x not in out]
+        return out | dict(zip(rest, self._encode(rest), strict=True)) if rest else out
+
+    def _one(self, text: str) -> list[int]:
+        return self.encode([text], add_special_tokens=False)[0].ids if text else []
+
+    def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not met before."""
+        split, new = [], {}
+        for w in words:
+            t = w.decode("utf-8", "replace")
+            own = self._PART.findall(t) if self._PLAIN.fullmatch(t) else [t]
+            split.append(own)
+            for x in own:
+                if x not in self.parts:
+                    new[x] = None
+        if new:
+            new = self._parts(list(new))
+        get = self.parts.get
+        out = {w: b"".join([get(x) or new.get(x, b"") for x in own]) for w, own in zip(words, split, strict=True)}
+        if (room := 2 * self.limit - len(self.parts)) > 0:
+            self.parts.update(list(new.items())[:room])
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        seen, fresh = self.seen, {}
-        missing = {w for ws in split for w in set(ws) if w not in seen}
+        get, split, whole = self.words.get, [], {}
+        for i, t in enumerate(texts):
+            t = t or ""
+            if not t.isascii():
+                t = unicodedata.normalize("NFC", t)
+            if "<|" in t or "\u03a3" in t:  # special tokens keep their case, and a last sigma is lower-cased otherwise here
+                whole[i] = t
+                t = ""
+            ws = t.lower().encode("utf-8", "surrogatepass").split()
+            split.append((ws, list(map(get, ws))))
+        missing = list({w: None for ws, ids in split if None in ids for w, i in zip(ws, ids, strict=True) if i is None})
         if missing:
-            missing = list(missing)
-            for e, w in zip(self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False), missing, strict=True):
-                ids = struct.pack(f"<{len(e.ids)}I", *e.ids)
-                if len(seen) < self.limit:
-                    seen[w] = ids
-                else:
-                    fresh[w] = ids
-        if fresh:
-            return [b"".join([seen.get(w) or fresh.get(w, b"") for w in ws]) for ws in split]
-        return [b"".join(map(seen.__getitem__, ws)) for ws in split]
+            fresh = self._fresh(missing)
+            for ws, ids in split:
+                if None in ids:
+                    ids[:] = [fresh[w] if i is None else i for w, i in zip(ws, ids, strict=True)]
+            if (room := self.limit - len(self.words)) > 0:
+                self.words.update(list(fresh.items())[:room])
+        out = [b"".join(ids) for _, ids in split]
+        for i, t in whole.items():
+            out[i] = b"".join(self._encode([w.decode("utf-8", "replace") for w in t.encode("utf-8", "surrogatepass").split()]))
+        return out
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, p: PackingParams = PackingParams()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end, step = WordTokens(tokenizer_path, p.cache_words), struct.pack("<I", p.end_id), 4 * p.capacity
+        tokens, end, step = WordTokens.of_worker(tokenizer_path, p.cache_words), struct.pack("<I", p.end_id), 4 * p.capacity
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
                 rows, piece, start, length, crc = [], [], [], [], []
                 for i, ids in enumerate(tokens(part["text"].to_pylist())):
                     ids += end

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, licenses, line_dedup, ngram_join, packing, quality, toxicity, urls
+from . import decontaminate, html, kneser_ney, licenses, line_dedup, ngram_join, packing, quality, toxicity, urls
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(read(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_join": op3_ngram_join,
     "op4_url_filter": op4_url_filter,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_html_extraction": op7_html_extraction,
     "op8_license_scan": op8_license_scan,

@@ -115,13 +115,13 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, p: LeakParams = LeakP
 SQL = r"""
 WITH bw AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM benchmark),
 dw AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' ') AS w FROM documents),
-it AS (SELECT item_id, len(w) AS words, unnest(range(0, len(w) - 4)) AS at, w FROM bw WHERE len(w) >= 5),
-i AS (SELECT item_id, words, at, array_to_string(w[at + 1:at + 5], ' ') AS s FROM it),
+it AS (SELECT item_id, len(w) AS words, unnest(range(0, len(w) - 4)) AS o, w FROM bw WHERE len(w) >= 5),
+i AS (SELECT item_id, words, o, array_to_string(w[o + 1:o + 5], ' ') AS s FROM it),
 nn AS (SELECT count(DISTINCT item_id) AS n FROM benchmark),
 wt AS (SELECT s, CAST(round(1000 * ln(1 + (SELECT n FROM nn) / count(DISTINCT item_id))) AS BIGINT) AS wt FROM i GROUP BY s),
 dt AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS pos, w FROM dw WHERE len(w) >= 5),
 d AS (SELECT doc_id, n, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS s FROM dt),
-win AS (SELECT DISTINCT d.doc_id, i.item_id, i.words, greatest(0, least(d.pos - i.at, d.n - i.words)) AS start FROM d JOIN i ON d.s = i.s),
+win AS (SELECT DISTINCT d.doc_id, i.item_id, i.words, greatest(0, least(d.pos - i.o, d.n - i.words)) AS start FROM d JOIN i ON d.s = i.s),
 ws AS (SELECT win.doc_id, win.item_id, win.words, win.start, d.s, count(*) AS c FROM win JOIN d ON d.doc_id = win.doc_id AND d.pos >= win.start AND d.pos < win.start + win.words - 4 GROUP BY ALL),
 ic AS (SELECT item_id, s, count(*) AS ci FROM i GROUP BY ALL),
 tot AS (SELECT item_id, sum(wt) AS t FROM i JOIN wt USING (s) GROUP BY item_id),

@@ -1,0 +1,6 @@
+"""Registered queries and their SQL."""
+
+from . import activity, places
+
+QUERIES = places.QUERIES | activity.QUERIES
+ORACLE_SQL = places.ORACLE_SQL | activity.ORACLE_SQL

@@ -37,7 +37,7 @@ _JUNK = {w: k for k, ws in JUNK.items() for w in ws.split()}
 _CONTENT = set("article content post entry story main body articlebody text".split())
 _TAG_JUNK = {"nav": "menu", "footer": "menu", "header": "menu", "menu": "menu", "aside": "side", "form": "form", "fieldset": "form", "dialog": "notice"}
 KINDS = ("ad", "notice", "comment", "menu", "side", "form")
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "loose", "in_article", "in_content", *KINDS)
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "loose", "in_article", "in_content", "in_junk", *KINDS)
 
 
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
@@ -55,7 +55,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         if words:
             n, k = words.count(" ") + 1, len(html.unescape(" ".join(linked)).split())
             kinds = {s[1] for s in stack}
-            out.append((words, [n, min(1.0, k / n), 0, 0, 0, 0, tag[:1] == "h" and tag[1:].isdigit(), tag in ("li", "dt", "dd"), tag in ("", "div", "body", "section", "span"), any(s[2] for s in stack), any(s[3] for s in stack), *(k in kinds for k in KINDS)]))
+            out.append((words, [n, min(1.0, k / n), 0, 0, 0, 0, tag[:1] == "h" and tag[1:].isdigit(), tag in ("li", "dt", "dd"), tag in ("", "div", "body", "section", "span"), any(s[2] for s in stack), any(s[3] for s in stack), bool(kinds - {None}), *(k in kinds for k in KINDS)]))
         text, linked = [], []
 
     for m in _TOKEN.finditer(page):

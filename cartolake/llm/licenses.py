@@ -66,20 +66,20 @@ def rules() -> list[tuple[str, str, str, float]]:
         for v in versions:
             dotted = v.replace(" ", ".") + ("" if " " in v else ".0")
             number = v if " " in v else f"{v}(?: 0)?"
-            out.append((f"{label}-{dotted}-or-later", "later", rf"(?:gnu )?{name}{_V} {number}{_OR_LATER}", 1.0))
-            out.append((f"{label}-{dotted}", "general" if "general" in name else "documentation", rf"(?:gnu )?{name}{_V} {number}(?: only)?", 1.0))
+            out.append((f"{label}-{dotted}-or-later", "later", rf"(?:gnu )?{name}{_V} ?{number}{_OR_LATER}", 1.0))
+            out.append((f"{label}-{dotted}", "general" if "general" in name else "documentation", rf"(?:gnu )?{name}{_V} ?{number}(?: only)?", 1.0))
             out.append((f"{label}-{dotted}", short, rf"{short} ?{_V} ?{number}", 0.95))
             out.append((f"{label}-{dotted}", f"{short}v{v[0]}", rf"{short}v{number}", 0.95))
     for label, keyword, name, versions in _VERSIONED:
         for v in versions:
             dotted = v.replace(" ", ".")
             number = v[:-2] + "(?: 0)?" if v.endswith(" 0") else v
-            out.append((f"{label}-{dotted}", keyword, rf"{name}{_V} {number}", 1.0))
+            out.append((f"{label}-{dotted}", keyword, rf"{name}{_V} ?{number}", 1.0))
         out.append((label, keyword, name, 0.85))
     for label, name, code in reversed(_CC_PARTS):
         for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
             dotted = v.replace(" ", ".")
-            out.append((f"{label}-{dotted}", "creative", rf"creative commons {name}{_V} {v}(?: international| unported| generic)?", 1.0))
+            out.append((f"{label}-{dotted}", "creative", rf"creative commons {name}{_V} ?{v}(?: international| unported| generic)?", 1.0))
             out.append((f"{label}-{dotted}", "cc", rf"cc {code} {v}", 1.0))
         out.append((label, "creative", rf"creative commons {name}", 0.85))
         out.append((label, "cc", rf"cc {code}", 0.8))

@@ -148,8 +148,9 @@ def later_copies(documents: DataFrame, scratch: Scratch, p: LineDedupParams) ->
     return later.groupBy("doc").agg(F.collect_set(F.struct("i", "m")).alias("own")).mapInArrow(join, "doc long, cuts array<struct<a int, b int>>")
 
 
-def dedup(documents: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFrame:
-    """The documents with later copies of runs deleted from text, and n_lines, n_removed. Other columns stay as they are."""
+def dedup(documents: DataFrame, p: LineDedupParams = LineDedupParams(), counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The documents with later copies of runs deleted from text, and n_lines, n_removed under the names in `counts` (columns of these
+    names are replaced). Other columns stay as they are."""
     scratch = Scratch(documents.sparkSession, "line-dedup")
     plain = documents.where("doc_id IS NULL").isEmpty() and documents.groupBy("doc_id").count().where("count > 1").isEmpty()
     key = F.col("doc_id").cast("long") if plain else F.monotonically_increasing_id()
@@ -161,19 +162,19 @@ def dedup(documents: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataF
     joined = docs.join(cuts, "doc", "left").withColumn("lines", F.when(F.col("cuts").isNotNull(), F.split("row.text", "\n", -1)))
     left = F.expr("array_join(filter(lines, (x, i) -> NOT exists(cuts, c -> i >= c.a AND i < c.b)), '\\n')")
     text = F.when(F.col("cuts").isNotNull(), left).otherwise(F.col("row.text"))
-    own = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns]
+    own = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in counts]
     n = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit(""))) + 1)
     removed = F.coalesce(F.aggregate("cuts", F.lit(0), lambda s, c: s + c["b"] - c["a"]), F.lit(0))
-    return joined.select(*own, n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return joined.select(*own, n.cast("long").alias(counts[0]), removed.cast("long").alias(counts[1]))
 
 
 def drop_copies(documents: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFrame:
     """Pipeline form: documents with their shortened texts; n_chars, where there is one, is counted anew. Documents whose every word was a
     later copy go; those without words before stay."""
-    done = dedup(documents.drop("n_lines", "n_removed"), p).where(~((F.col("n_removed") > 0) & (F.regexp_replace(F.col("text"), SPACES, "") == "")))
+    done = dedup(documents, p, ("_lines_before", "_lines_gone")).where(~((F.col("_lines_gone") > 0) & (F.regexp_replace(F.col("text"), SPACES, "") == "")))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        done = done.withColumn("n_chars", F.when(F.col("_lines_gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return done.select(documents.columns)
 
 

@@ -138,6 +138,8 @@ def members(nodes: DataFrame, p: JoinParams, k: int) -> DataFrame:
                 part = b.slice(at, 512)
                 ids = part["node"].to_numpy(zero_copy_only=False)
                 got = [np.frombuffer(c, np.int64) for c in part["cells"].to_pylist()]
+                if not got:
+                    continue
                 cell, node = np.concatenate(got), np.repeat(ids, [len(g) for g in got])
                 own = (cell >> 8) % p.passes == k
                 yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[own]), "node": pa.array(node[own])})

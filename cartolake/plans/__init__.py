@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import activity, places
+from . import activity, discovery, places
 
-QUERIES = places.QUERIES | activity.QUERIES
-ORACLE_SQL = places.ORACLE_SQL | activity.ORACLE_SQL
+QUERIES = places.QUERIES | activity.QUERIES | discovery.QUERIES
+ORACLE_SQL = places.ORACLE_SQL | activity.ORACLE_SQL | discovery.ORACLE_SQL

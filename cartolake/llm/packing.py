@@ -35,9 +35,10 @@ from .common import Scratch
 class PackingParams:
     capacity: int = 4096
     end_id: int = 1
-    #: Pieces longer than this share of the capacity are large; so many groups of equal cardinality.
-    large_share: float = 0.2
-    groups: int = 64
+    #: Pieces longer than this share of the capacity are large: of these shares, the one whose plan needs the fewest sequences is taken.
+    large_shares: tuple[float, ...] = (0.25, 0.35, 0.5)
+    #: So many groups of equal cardinality.
+    groups: int = 256
     #: Words whose ids each worker remembers, and twice as many parts.
     cache_words: int = 250_000
 
@@ -180,6 +181,10 @@ def configurations(sizes: list[int], supply: list[int], capacity: int) -> list[t
 
 def plan(histogram: dict[int, int], p: PackingParams = PackingParams()) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, number, first sequence, offset), and the number of sequences."""
+    return min((_plan(histogram, p, share) for share in p.large_shares), key=lambda x: x[1])
+
+
+def _plan(histogram: dict[int, int], p: PackingParams, share: float) -> tuple[np.ndarray, int]:
     c, rows, made = p.capacity, [], 0
     rooms: dict[int, list[tuple[int, int]]] = defaultdict(list)  # free room: (first sequence, number)
     many = np.zeros(c + 1, np.int64)  # runs of each free room
@@ -194,7 +199,7 @@ def plan(histogram: dict[int, int], p: PackingParams = PackingParams()) -> tuple
         rows.append((length, next_rank[length], number, first, offset))
         next_rank[length] += number
 
-    large = sorted((n for n in histogram if n > p.large_share * c), reverse=True)
+    large = sorted((n for n in histogram if n > share * c), reverse=True)
     total = sum(histogram[n] for n in large)
     if total:
         size = -(-total // p.groups)
@@ -238,7 +243,7 @@ def plan(histogram: dict[int, int], p: PackingParams = PackingParams()) -> tuple
                         s.pop(0)
                 free(made, m, fill)
                 made, done = made + m, done + m
-    for n in sorted((n for n in histogram if n <= p.large_share * c), reverse=True):
+    for n in sorted((n for n in histogram if n <= share * c), reverse=True):
         count = histogram[n]
         while count:
             found = np.flatnonzero(many[n:])

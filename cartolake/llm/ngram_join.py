@@ -236,9 +236,11 @@ def _far_pairs(apart: DataFrame, nodes: DataFrame, scratch: Scratch, p: JoinPara
 def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included), n_copies (documents with the same set)."""
     scratch = Scratch(documents.sparkSession, "ngram-join")
-    sketches = scratch.keep(sketch(documents, p), "sketches")
-    found = sketches.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "n", "point", "cells"), "doc_id").alias("x"), F.count("*").alias("n_copies"))
+    wide = scratch.keep(sketch(documents, p), "sketches")
+    found = wide.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "n", "point", "cells"), "doc_id").alias("x"), F.count("*").alias("n_copies"))
     nodes = scratch.keep(found.select("f1", "f2", F.col("x.doc_id").cast("long").alias("node"), "x.n", "x.point", "x.cells", "n_copies"), "nodes")
+    sketches = scratch.keep(wide.select("doc_id", "n", "f1", "f2"), "sets")
+    scratch.drop(wide)
 
     pairs, shared = [], []
     for k in range(p.passes):
@@ -249,12 +251,16 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     two, many = pairs[0], shared[0]
     for x, y in zip(pairs[1:], shared[1:], strict=True):
         two, many = two.unionByName(x), many.unionByName(y)
+    wide, nodes = nodes, scratch.keep(nodes.drop("cells"), "points")
     many = scratch.keep(_less_crowded(many, p), "cells")
+    scratch.drop(wide, *shared)
     weight = many.groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
     center = many.join(weight, "node").groupBy("cell").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"))).alias("m")).select("cell", (-F.col("m.x")).alias("center"))
-    many = scratch.keep(many.join(center, "cell"), "centres")
+    wide, many = many, scratch.keep(many.join(center, "cell"), "centres")
+    scratch.drop(wide)
     star = many.where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b"))
     tried = scratch.keep(prune(star.unionByName(two).where("a <> b").distinct(), nodes, p), "pairs")
+    scratch.drop(*pairs)
     links = verify(tried, documents, scratch, p)
 
     comp = components(links, scratch)

@@ -45,10 +45,12 @@ class JoinParams:
     crowded: int = 32
     coarse: int = 128
     #: The cells are built in so many passes, which bounds the disk that a pass needs.
-    passes: int = 2
+    passes: int = 4
     #: In the last comparison, members up to which a cell's pairs are listed, and members of a block in larger ones.
     small: int = 8
     block: int = 128
+    #: Nodes (8 bytes each) that may be broadcast.
+    broadcast_nodes: int = 1_000_000
 
     def limits(self) -> np.ndarray:
         """Lower size bounds of the classes; at most 64 classes."""
@@ -181,9 +183,11 @@ def prune(pairs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def verify(pairs: DataFrame, documents: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
-    """The pairs (a, b) that are links. Only the texts of these are read again."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(need, "node", "left_semi")
+    """The pairs (a, b) that are links. Only the texts of these are read again. The wanted nodes are counted: up to
+    p.broadcast_nodes they are broadcast, so that no text is shuffled to find them; beyond that both sides are."""
+    need = scratch.keep(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "need")
+    wanted = F.broadcast(need) if need.count() <= p.broadcast_nodes else need
+    texts = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node", "left_semi")
     whole = scratch.keep(sets(texts, p).dropDuplicates(["node", "shingles"]), "sets")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +201,40 @@ def verify(pairs: DataFrame, documents: DataFrame, scratch: Scratch, p: JoinPara
     return links
 
 
-def _less_crowded(shared: DataFrame, p: JoinParams) -> DataFrame:
-    """cell, node, size without the crowded cells of the nodes that may leave them; cells of one node go."""
+def _leaving(shared: DataFrame, p: JoinParams) -> DataFrame:
+    """node, class of the nodes that may leave all their crowded cells of a class."""
     limits = p.limits()
     may = F.create_map(*[F.lit(x) for k in range(len(limits) - 1) for x in (k, p.blocks(k, limits)[2])])
-    own = shared.withColumn("class", F.col("cell").bitwiseAND(63).cast("int"))
-    left = own.where(F.col("size") > p.crowded).groupBy("node", "class").agg(F.count("*").alias("c")).where(F.col("c") <= may[F.col("class")]).select("node", "class", F.lit(True).alias("leaves"))
-    rest = own.join(left, ["node", "class"], "left").where(F.col("leaves").isNull() | (F.col("size") <= p.crowded)).select("cell", "node")
-    return rest.join(rest.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "cell")
+    crowded = shared.where(F.col("size") > p.crowded).withColumn("class", F.col("cell").bitwiseAND(63).cast("int"))
+    return crowded.groupBy("node", "class").agg(F.count("*").alias("c")).where(F.col("c") <= may[F.col("class")]).select("node", "class")
+
+
+def _less_crowded(shared: DataFrame, leaving: DataFrame, p: JoinParams) -> DataFrame:
+    """cell, node, size without the crowded cells of the nodes that leave them. Only crowded cells are counted anew, and go if one node is left."""
+    crowded = shared.where(F.col("size") > p.crowded).withColumn("class", F.col("cell").bitwiseAND(63).cast("int"))
+    rest = crowded.join(leaving, ["node", "class"], "left_anti").select("cell", "node")
+    again = rest.join(rest.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "cell")
+    return shared.where(F.col("size") <= p.crowded).select("cell", "node", "size").unionByName(again.select("cell", "node", "size"))
+
+
+def _centred(cells: DataFrame, weight: DataFrame) -> DataFrame:
+    """cell, node, size, center: the cell's node with the greatest weight, of equals the least."""
+    center = cells.join(weight, "node").groupBy("cell").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"))).alias("m")).select("cell", (-F.col("m.x")).alias("center"))
+    return cells.join(center, "cell")
+
+
+def _apart(cells: DataFrame, comp: DataFrame) -> DataFrame:
+    """Cells of three or more nodes that lie in several components, with each node's component."""
+    now = cells.where("size > 2").join(comp, "node", "left").select("cell", "node", "size", "center", F.coalesce("component", "node").alias("comp"))
+    open_ = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
+    return now.join(open_, "cell", "left_semi")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def _far_pairs(apart: DataFrame, nodes: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
@@ -248,25 +278,27 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
         cells = scratch.keep(own.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("b"), F.max("node").alias("a")).where("size > 1"), "cells")
         pairs.append(cells.where("size = 2").select("a", "b"))
         shared.append(scratch.keep(own.join(cells.where("size > 2").select("cell", "size").hint("shuffle_hash"), "cell"), "shared"))
-    two, many = pairs[0], shared[0]
-    for x, y in zip(pairs[1:], shared[1:], strict=True):
-        two, many = two.unionByName(x), many.unionByName(y)
     wide, nodes = nodes, scratch.keep(nodes.drop("cells"), "points")
-    many = scratch.keep(_less_crowded(many, p), "cells")
-    scratch.drop(wide, *shared)
-    weight = many.groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight"))
-    center = many.join(weight, "node").groupBy("cell").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"))).alias("m")).select("cell", (-F.col("m.x")).alias("center"))
-    wide, many = many, scratch.keep(many.join(center, "cell"), "centres")
     scratch.drop(wide)
-    star = many.where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b"))
-    tried = scratch.keep(prune(star.unionByName(two).where("a <> b").distinct(), nodes, p), "pairs")
+    leaving, many = scratch.keep(_leaving(_all(shared), p), "leaving"), []
+    for t in shared:
+        many.append(scratch.keep(_less_crowded(t, leaving, p), "cells"))
+        scratch.drop(t)
+    weight = scratch.keep(_all(many).groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight")), "weights")
+    for k, t in enumerate(many):
+        many[k] = scratch.keep(_centred(t, weight), "centres")
+        scratch.drop(t)
+    star = _all(many).where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b"))
+    tried = scratch.keep(prune(star.unionByName(_all(pairs)).where("a <> b").distinct(), nodes, p), "pairs")
     scratch.drop(*pairs)
     links = verify(tried, documents, scratch, p)
 
     comp = components(links, scratch)
-    now = many.join(comp, "node", "left").select("cell", "node", "size", "center", F.coalesce("component", "node").alias("comp"))
-    open_ = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    apart = scratch.keep(now.where("size > 2").join(open_, "cell", "left_semi"), "apart")
+    apart = []
+    for t in many:
+        apart.append(scratch.keep(_apart(t, comp), "apart"))
+        scratch.drop(t)
+    apart = _all(apart)
     few = apart.where(F.col("size") <= p.small).where("node <> center").select("cell", "node", "comp")
     listed = few.alias("x").join(few.alias("y"), "cell").where("x.node > y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     far = _far_pairs(apart.where(F.col("size") > p.small), nodes, scratch, p)

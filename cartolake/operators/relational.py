@@ -49,6 +49,16 @@ def both_ways(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
 
 
+def common_counts(df: DataFrame, item: str, key: str, least: int = 1, block: int = 1000) -> DataFrame:
+    """a < b and the number of keys that both items have, `least` or more, from distinct rows. No key is left out: the right rows of one with
+    over `block` rows are dealt into blocks, and its left rows meet each block."""
+    blocks = df.groupBy(F.col(key).alias("k")).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    rows = df.select(F.col(key).alias("k"), F.col(item).alias("i")).join(blocks, "k")
+    left = rows.select("k", F.col("i").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at"))
+    right = rows.select("k", F.col("i").alias("b"), F.pmod(F.xxhash64("i"), F.col("blocks")).alias("at"))
+    return left.join(right, ["k", "at"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+
+
 def merge_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Union by name, missing columns null, then the latest row of each key."""
     return latest_per_key(old.unionByName(new, allowMissingColumns=True), keys, order)

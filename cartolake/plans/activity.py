@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, moments, vector
 from ..operators.mih import mih_pairs
-from ..operators.relational import both_ways, keyset_after, latest_per_key, ledger_conflicts, ordered_array, top_per_key, without
+from ..operators.relational import both_ways, common_counts, keyset_after, latest_per_key, ledger_conflicts, ordered_array, top_per_key, without
 from ..streaming import state
 from .places import load
 
@@ -96,10 +96,10 @@ def mutual_counts(spark, sf_dir):
 @register("""WITH l AS (SELECT DISTINCT o_custkey, l_partkey % 40 AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150), w AS (SELECT part FROM l GROUP BY part HAVING count(*) <= 100000)
 SELECT a.o_custkey AS a, b.o_custkey AS b, count(*) AS common FROM l a JOIN l b ON a.part = b.part AND a.o_custkey < b.o_custkey JOIN w ON w.part = a.part GROUP BY 1, 2 HAVING count(*) >= 20""")
 def co_like_matches(spark, sf_dir):
-    o, li = load(spark, sf_dir, "orders").where("o_custkey < 150").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 40).alias("part"))
-    likes = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "part").distinct()
-    pairs = likes.alias("x").join(likes.alias("y"), "part").where("x.o_custkey < y.o_custkey")
-    return pairs.groupBy(F.col("x.o_custkey").alias("a"), F.col("y.o_custkey").alias("b")).agg(F.count("*").alias("common")).where("common >= 20")
+    """Pairs of customers with 20 parts or more in common, over all customers and parts."""
+    o, li = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    likes = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").dropna().distinct()
+    return common_counts(likes, "o_custkey", "l_partkey", 20)
 
 
 @register("SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, count(*) FILTER (role = 'assistant' AND turn > 1) AS unread FROM conversations GROUP BY 1")

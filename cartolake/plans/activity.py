@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, moments, vector
+from ..functions import hashing, moments
 from ..operators.mih import mih_pairs
 from ..operators.relational import both_ways, common_counts, keyset_after, latest_per_key, ledger_conflicts, ordered_array, top_per_key, without
+from ..operators.topk import cosine_topk
 from ..streaming import state
 from .places import load
 
@@ -147,11 +148,9 @@ def near_dup_mih(spark, sf_dir):
 @register("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT q, vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)))) AS c FROM q, embeddings WHERE q <> vec_id)
 SELECT q, vec_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 10""")
 def vector_topk(spark, sf_dir):
-    """Exact cosine top 10 for eight query vectors, which are broadcast; groups are cut to 10 rows before the shuffle."""
+    """Exact cosine top 10 among all vectors for each vector whose id is divisible by 50."""
     e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = F.broadcast(e.where("vec_id < 8").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe")))
-    s = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", vector.cosine(F.col("qe"), F.col("embedding")).alias("c"))
-    return top_per_key(s, ["q"], [F.col("c").desc(), F.col("vec_id").asc()], 10).select("q", "vec_id", F.round("c", 6).alias("cosine"))
+    return cosine_topk(e.where("vec_id % 50 = 0"), e, 10).select("q", "vec_id", F.round("c", 6).alias("cosine"))
 
 
 @register("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

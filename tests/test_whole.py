@@ -1,9 +1,11 @@
 """Queries over whole tables against SQL without the cuts that their registered SQL still has."""
 
 import duckdb
+import numpy as np
 
 from cartolake import plans
 from cartolake.operators.relational import common_counts
+from cartolake.operators.topk import cosine_topk
 
 
 def rows(spark, folder, name, **tables):
@@ -39,3 +41,29 @@ def test_common_counts_in_blocks(spark):
     have = {i: {k for k in range(3) if i % (k + 1) == 0} for i in range(40)}
     want = {(a, b, len(have[a] & have[b])) for a in have for b in have if a < b}
     assert {tuple(r) for r in common_counts(df, "i", "k", 1, 7).collect()} == want
+
+
+TOPK = """WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)))) AS c FROM q, embeddings WHERE q <> vec_id)
+SELECT round(c, 6) AS cosine, q, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 10"""
+
+
+def test_vector_topk_takes_every_fiftieth_as_query(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    got = {(r.q, r.vec_id): r.cosine for r in plans.QUERIES["vector_topk"](spark, "/root/testdata/sf0.001").collect()}
+    want = {(q, v): c for c, q, v in con.execute(TOPK).fetchall()}
+    assert {q for q, _ in got} == set(range(0, 500, 50)) and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-6 for k in got)
+
+
+def test_cosine_topk_in_blocks_with_ties_and_zeros(spark):
+    r = np.random.default_rng(1)
+    vectors = [[float(x) for x in r.integers(-2, 3, 4)] for _ in range(60)] + [[0.0] * 4] * 2
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
+    got = {(r.q, r.vec_id) for r in cosine_topk(df.where("vec_id % 5 = 0"), df, 4, 3, 9).collect()}
+
+    def cosine(a, b):
+        size = np.sqrt(np.dot(a, a)) * np.sqrt(np.dot(b, b))
+        return np.dot(a, b) / size if size else -np.inf
+
+    assert got == {(q, v) for q in range(0, 62, 5) for v in sorted((v for v in range(62) if v != q), key=lambda v: (-cosine(vectors[q], vectors[v]), v))[:4]}

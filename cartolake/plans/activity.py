@@ -83,15 +83,15 @@ _EDGES = "e AS (SELECT DISTINCT c_custkey % 200 AS a, (c_custkey * 7 + 3) % 200
 
 
 def edges(spark, sf_dir):
-    k = F.col("c_custkey")
-    return load(spark, sf_dir, "customer").select((k % 200).alias("a"), ((k * 7 + 3) % 200).alias("b")).where("a <> b").distinct()
+    """Customers and the parts they ordered, whole ids: customer k is node 2k, part k is node 2k + 1."""
+    o, li = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).dropna().distinct()
 
 
 @register(f"WITH {_EDGES}, f AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e) SELECT l.x AS a, r.x AS b, count(*) AS mutual FROM f l JOIN f r ON l.y = r.y AND l.x < r.x GROUP BY 1, 2")
 def mutual_counts(spark, sf_dir):
-    """Common friends of each pair, from edges in both directions."""
-    f = both_ways(edges(spark, sf_dir), "a", "b")
-    return f.alias("l").join(f.alias("r"), F.col("l.y") == F.col("r.y")).where("l.x < r.x").groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b")).agg(F.count("*").alias("mutual"))
+    """Common friends of each pair of customers and of each pair of parts, from edges in both directions."""
+    return common_counts(both_ways(edges(spark, sf_dir), "a", "b"), "x", "y").withColumnRenamed("common", "mutual")
 
 
 @register("""WITH l AS (SELECT DISTINCT o_custkey, l_partkey % 40 AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150), w AS (SELECT part FROM l GROUP BY part HAVING count(*) <= 100000)

@@ -67,3 +67,22 @@ def test_cosine_topk_in_blocks_with_ties_and_zeros(spark):
         return np.dot(a, b) / size if size else -np.inf
 
     assert got == {(q, v) for q in range(0, 62, 5) for v in sorted((v for v in range(62) if v != q), key=lambda v: (-cosine(vectors[q], vectors[v]), v))[:4]}
+
+
+MUTUAL = """WITH e AS (SELECT DISTINCT 2 * o_custkey AS a, 2 * l_partkey + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), f AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e)
+SELECT l.x AS a, r.x AS b, count(*) AS mutual FROM f l JOIN f r ON l.y = r.y AND l.x < r.x GROUP BY 1, 2"""
+
+
+def test_mutual_counts_of_whole_ids(spark, tmp_path):
+    """Customers 1 and 201 share parts 7 and 8, which share both of them; customer 401 and part 207 share nothing."""
+    orders, lines = [(10, 1), (11, 201), (12, 401)], [(10, 7), (10, 8), (11, 7), (11, 8), (11, 8), (12, 207)]
+    got = rows(spark, tmp_path, "mutual_counts", orders=("o_orderkey long, o_custkey long", orders), lineitem=("l_orderkey long, l_partkey long", lines))
+    assert got == [(2, 402, 2), (15, 17, 2)] == duck(tmp_path, MUTUAL, "orders", "lineitem")
+
+
+def test_mutual_counts_of_the_smallest_tables(spark):
+    got = sorted(tuple(r) for r in plans.QUERIES["mutual_counts"](spark, "/root/testdata/sf0.001").select("a", "b", "mutual").collect())
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    assert got == sorted(con.execute(MUTUAL).fetchall()) and len(got) > 200

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, moments
-from ..operators.mih import mih_pairs
+from ..operators.mih import near_pairs, simhash
 from ..operators.relational import both_ways, common_counts, keyset_after, latest_per_key, ledger_conflicts, ordered_array, top_per_key, without
 from ..operators.topk import cosine_topk
 from ..streaming import state
@@ -138,11 +138,8 @@ def reconcile(spark, sf_dir):
 @register("""WITH f AS (SELECT doc_id, ('0x' || substr(sha256(CAST(doc_id % 300 AS VARCHAR)), 1, 16))::UBIGINT AS u, doc_id % 7 AS flips FROM documents), g AS (SELECT doc_id, xor(u, ((1::UBIGINT << flips::UBIGINT) - 1::UBIGINT)) AS fp FROM f)
 SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER) AS distance FROM g a JOIN g b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)) <= 5""")
 def near_dup_mih(spark, sf_dir):
-    """Fingerprints within 5 bits, found in three keys with one-bit neighbours."""
-    k = F.col("doc_id")
-    fp = hashing.fingerprint64((k % 300).cast("string")).bitwiseXOR(F.expr("shiftleft(1L, cast(doc_id % 7 as int)) - 1"))
-    g = load(spark, sf_dir, "documents").select("doc_id", fp.alias("fp"))
-    return mih_pairs(g, g, "doc_id", "fp").where("a < b")
+    """SimHashes of whole texts within 5 bits, found in three keys with one-bit neighbours; classes of equal ones once."""
+    return near_pairs(simhash(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "fp")
 
 
 @register("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT q, vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)))) AS c FROM q, embeddings WHERE q <> vec_id)

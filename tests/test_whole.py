@@ -1,5 +1,8 @@
 """Queries over whole tables against SQL without the cuts that their registered SQL still has."""
 
+import hashlib
+import re
+
 import duckdb
 import numpy as np
 
@@ -86,3 +89,31 @@ def test_mutual_counts_of_the_smallest_tables(spark):
     for t in ("orders", "lineitem"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     assert got == sorted(con.execute(MUTUAL).fetchall()) and len(got) > 200
+
+
+def near_brute_force(texts):
+    """Pairs as near_dup_mih gives them, from SimHashes in plain Python."""
+    prints = {}
+    for k, text in texts.items():
+        if text is not None:
+            h = [int(hashlib.sha256(w.encode()).hexdigest()[:16], 16) for w in set(re.split("[ \t\r\n]+", text.lower())) if w]
+            prints.setdefault(sum((sum(x >> b & 1 for x in h) * 2 > len(h)) << b for b in range(64)), []).append(k)
+    classes = sorted((min(ids), fp, sorted(ids)[1:]) for fp, ids in prints.items())
+    equal = {(a, b, 0) for a, _, rest in classes for b in rest}
+    return equal | {(a, b, d) for a, x, _ in classes for b, y, _ in classes if a < b and (d := (x ^ y).bit_count()) <= 5}
+
+
+def test_near_dup_mih_reads_texts(spark, tmp_path):
+    """Equal texts are found whatever their ids; 0 and 300 agree modulo 300 only."""
+    long = " ".join(f"word{i * i % 97} stone{i}" for i in range(400))
+    texts = {0: "grey harbour wall", 5: long, 11: long, 23: long, 46: long.replace("stone7 ", "pier "), 300: "quite another text", 600: None, 601: "", 602: " \n", 9: long + " crane"}
+    got = rows(spark, tmp_path, "near_dup_mih", documents=("doc_id long, text string", list(texts.items())))
+    assert set(got) == near_brute_force(texts) and len(got) == len(set(got))
+    assert {(5, 11, 0), (5, 23, 0), (601, 602, 0)} <= set(got) and not any({0, 300, 600} & {a, b} for a, b, _ in got)
+    assert any(46 in x[:2] for x in got)
+
+
+def test_near_dup_mih_of_the_smallest_table(spark):
+    texts = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
+    got = [(r.a, r.b, r.distance) for r in plans.QUERIES["near_dup_mih"](spark, "/root/testdata/sf0.001").collect()]
+    assert set(got) == near_brute_force(texts) and len(got) == len(set(got))

@@ -20,7 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_RAW_END = {k: re.compile(rf"</{k}\s*>|\Z", re.I) for k in ("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "button", "textarea", "title", "canvas", "math", "video", "audio")}
+#: Raw text to the end tag, or the page's end.
+_RAW_END = {k: re.compile(rf"</{k}\s*>|\Z", re.I) for k in ("script", "style", "iframe", "textarea", "title")}
+#: Boxes that are left out up to their end tag, or, where that is missing, up to the next block or container.
+_SKIPPED = {k: re.compile(rf"<(/?){k}(?![A-Za-z0-9:-])[^>]*>", re.I) for k in ("noscript", "template", "svg", "object", "select", "button", "canvas", "video", "audio")}
 _BLOCK = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption summary legend hr div section article main nav aside header footer form ul ol dl table tr tbody thead tfoot figure details dialog body html head fieldset address hgroup menu center".split())
 _BOX = set("div section article main nav aside header footer form ul ol dl table tr td figure details dialog body blockquote fieldset menu li span a address center".split())
 _HINTS = re.compile(r"""(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -40,6 +43,19 @@ KINDS = ("ad", "notice", "comment", "menu", "side", "form")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "loose", "in_article", "in_content", "in_junk", *KINDS)
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where each tag of the name that has its end tag starts, and where that end tag ends."""
+    out: dict[int, int] = {}
+    begun: list[int] = []
+    for m in _SKIPPED[name].finditer(page):
+        if not m[1]:
+            if m[0][-2] != "/":
+                begun.append(m.start())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, features) of every block that has text, in page order."""
     out: list[tuple[str, list[float]]] = []
@@ -47,7 +63,8 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     stack: list[tuple[str, str | None, bool, bool]] = []  # name, kind of junk, article, content
     text: list[str] = []
     linked: list[str] = []
-    anchor, tag = 0, ""
+    anchor, tag, skipped = 0, "", ""
+    ends: dict[str, dict[int, int]] = {}
 
     def close() -> None:
         nonlocal text, linked
@@ -63,9 +80,10 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             continue
         if m.start() > at:
             piece = page[at : m.start()]
-            text.append(piece)
-            if anchor:
-                linked.append(piece)
+            if not skipped:
+                text.append(piece)
+                if anchor:
+                    linked.append(piece)
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -74,6 +92,19 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             if m[3].rstrip()[-1:] != "/":
                 at = _RAW_END[name].search(page, at).end()
             continue
+        if name in _SKIPPED:
+            if m[1]:
+                skipped = "" if name == skipped else skipped
+            elif m[3].rstrip()[-1:] != "/":
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                if m.start() in ends[name]:
+                    at = max(at, ends[name][m.start()])
+                elif not skipped:
+                    skipped = name
+            continue
+        if name in _BLOCK or name in _BOX and name not in ("span", "a"):
+            skipped = ""
         if name == "a":
             anchor = 0 if m[1] else 1
         if name == "br":
@@ -104,7 +135,7 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 if name == "li" and stack and stack[-1][0] == "li":
                     stack.pop()
                 stack.append((name, kind, article, content and kind is None))
-    if at < len(page):
+    if at < len(page) and not skipped:
         text.append(page[at:])
     close()
     for i, (_, f) in enumerate(out):

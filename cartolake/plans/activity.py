@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing, moments
@@ -191,10 +191,12 @@ def sample_hash(spark, sf_dir):
 
 @register("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n FROM events e WHERE event_type = 'error' AND user_id % 10 <> 0 GROUP BY 1, 2 HAVING count(*) >= 2")
 def anomaly_windows(spark, sf_dir):
-    """Errors of one user within an hour, two or more, without users already alerted."""
+    """Errors of one user within an hour, two or more, unless the hour before gave that user's alert: of hours in a row every other one alerts."""
     e = load(spark, sf_dir, "events").where("event_type = 'error'")
-    alerted = load(spark, sf_dir, "events").select("user_id").where("user_id % 10 = 0").distinct()
-    return e.join(alerted, "user_id", "left_anti").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).where("n >= 2")
+    n = e.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).where("n >= 2")
+    at = F.floor(F.unix_timestamp("hour") / 3600)
+    n = n.withColumn("run", at - F.row_number().over(Window.partitionBy("user_id").orderBy("hour")))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("user_id", "run").orderBy("hour"))).where("place % 2 = 1").select("user_id", "hour", "n")
 
 
 plain("group_having", "orders", "SELECT o_custkey, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey HAVING count(*) >= 5")

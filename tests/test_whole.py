@@ -1,5 +1,6 @@
 """Queries over whole tables against SQL without the cuts that their registered SQL still has."""
 
+import datetime
 import hashlib
 import re
 
@@ -117,3 +118,13 @@ def test_near_dup_mih_of_the_smallest_table(spark):
     texts = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
     got = [(r.a, r.b, r.distance) for r in plans.QUERIES["near_dup_mih"](spark, "/root/testdata/sf0.001").collect()]
     assert set(got) == near_brute_force(texts) and len(got) == len(set(got))
+
+
+def test_anomaly_windows_of_all_users(spark, tmp_path):
+    """User 10 is no exception; of user 3's hours 1, 2, 3 and 5 the second is covered by the first one's alert."""
+    at = lambda h, m: datetime.datetime(2024, 1, 5, h, m)
+    hours = {10: [4], 3: [1, 2, 3, 5]}
+    events = [(at(h, m), u, "error") for u, hs in hours.items() for h in hs for m in (1, 59)] + [(at(9, 0), 7, "error"), (at(10, 0), 7, "error"), (at(9, 1), 7, "view")]
+    spark.createDataFrame(events, "ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.QUERIES["anomaly_windows"](spark, str(tmp_path)).selectExpr("user_id", "hour(hour) AS h", "n").collect()
+    assert sorted(map(tuple, got)) == [(3, 1, 2), (3, 3, 2), (3, 5, 2), (10, 4, 2)]

@@ -79,28 +79,28 @@ def anti_two_keys(spark, sf_dir):
     return without(left, s.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey").select("c_custkey")
 
 
-_EDGES = "e AS (SELECT DISTINCT c_custkey % 200 AS a, (c_custkey * 7 + 3) % 200 AS b FROM customer WHERE c_custkey % 200 <> (c_custkey * 7 + 3) % 200)"
-
-
 def edges(spark, sf_dir):
     """Customers and the parts they ordered, whole ids: customer k is node 2k, part k is node 2k + 1."""
     o, li = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).dropna().distinct()
 
 
-@register(f"WITH {_EDGES}, f AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e) SELECT l.x AS a, r.x AS b, count(*) AS mutual FROM f l JOIN f r ON l.y = r.y AND l.x < r.x GROUP BY 1, 2")
+@register("""WITH e AS (SELECT DISTINCT 2 * o_custkey AS a, 2 * l_partkey + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+f AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e)
+SELECT l.x AS a, r.x AS b, count(*) AS mutual FROM f l JOIN f r ON l.y = r.y AND l.x < r.x GROUP BY 1, 2""")
 def mutual_counts(spark, sf_dir):
     """Common friends of each pair of customers and of each pair of parts, from edges in both directions."""
     return common_counts(both_ways(edges(spark, sf_dir), "a", "b"), "x", "y").withColumnRenamed("common", "mutual")
 
 
-@register("""WITH l AS (SELECT DISTINCT o_custkey, l_partkey % 40 AS part FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 150), w AS (SELECT part FROM l GROUP BY part HAVING count(*) <= 100000)
-SELECT a.o_custkey AS a, b.o_custkey AS b, count(*) AS common FROM l a JOIN l b ON a.part = b.part AND a.o_custkey < b.o_custkey JOIN w ON w.part = a.part GROUP BY 1, 2 HAVING count(*) >= 20""")
+@register("""WITH l AS (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT a.o_custkey AS a, b.o_custkey AS b, count(*) AS common FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.o_custkey < b.o_custkey
+GROUP BY 1, 2 HAVING count(*) >= 2""")
 def co_like_matches(spark, sf_dir):
-    """Pairs of customers with 20 parts or more in common, over all customers and parts."""
+    """Pairs of customers with two parts or more in common, over all customers and parts."""
     o, li = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     likes = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_partkey").dropna().distinct()
-    return common_counts(likes, "o_custkey", "l_partkey", 20)
+    return common_counts(likes, "o_custkey", "l_partkey", 2)
 
 
 @register("SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, count(*) FILTER (role = 'assistant' AND turn > 1) AS unread FROM conversations GROUP BY 1")
@@ -135,14 +135,19 @@ def reconcile(spark, sf_dir):
     return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_totalprice", "lines", st.alias("state"))
 
 
-@register("""WITH f AS (SELECT doc_id, ('0x' || substr(sha256(CAST(doc_id % 300 AS VARCHAR)), 1, 16))::UBIGINT AS u, doc_id % 7 AS flips FROM documents), g AS (SELECT doc_id, xor(u, ((1::UBIGINT << flips::UBIGINT) - 1::UBIGINT)) AS fp FROM f)
-SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER) AS distance FROM g a JOIN g b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)) <= 5""")
+@register(r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda w: w <> '')) AS ws FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(ws) AS w FROM t)),
+n AS (SELECT doc_id, b, sum(((h >> b::UBIGINT) & 1)::INTEGER) * 2 > count(*) AS one FROM h, range(64) AS r(b) GROUP BY 1, 2),
+f AS (SELECT t.doc_id, coalesce(bit_or(CASE WHEN one THEN 1::UBIGINT << b::UBIGINT ELSE 0::UBIGINT END), 0::UBIGINT) AS fp FROM t LEFT JOIN n ON t.doc_id = n.doc_id GROUP BY 1),
+c AS (SELECT fp, min(doc_id) AS first FROM f GROUP BY 1)
+SELECT first AS a, doc_id AS b, 0::INTEGER AS distance FROM f JOIN c USING (fp) WHERE doc_id <> first
+UNION ALL SELECT x.first, y.first, CAST(bit_count(xor(x.fp, y.fp)) AS INTEGER) FROM c x JOIN c y ON x.first < y.first AND bit_count(xor(x.fp, y.fp)) <= 5""")
 def near_dup_mih(spark, sf_dir):
     """SimHashes of whole texts within 5 bits, found in three keys with one-bit neighbours; classes of equal ones once."""
     return near_pairs(simhash(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", "fp")
 
 
-@register("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id < 8), s AS (SELECT q, vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)))) AS c FROM q, embeddings WHERE q <> vec_id)
+@register("""WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(e, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)))) AS c FROM q, embeddings WHERE q <> vec_id)
 SELECT q, vec_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, vec_id) AS rn FROM s) WHERE rn <= 10""")
 def vector_topk(spark, sf_dir):
     """Exact cosine top 10 among all vectors for each vector whose id is divisible by 50."""
@@ -189,7 +194,9 @@ def sample_hash(spark, sf_dir):
     return load(spark, sf_dir, "customer").orderBy(F.sha2(F.col("c_custkey").cast("string"), 256)).limit(40).select("c_custkey")
 
 
-@register("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n FROM events e WHERE event_type = 'error' AND user_id % 10 <> 0 GROUP BY 1, 2 HAVING count(*) >= 2")
+@register("""WITH n AS (SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1, 2 HAVING count(*) >= 2),
+r AS (SELECT *, epoch(hour)::BIGINT // 3600 - row_number() OVER (PARTITION BY user_id ORDER BY hour) AS run FROM n)
+SELECT user_id, hour, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY hour) AS place FROM r) WHERE place % 2 = 1""")
 def anomaly_windows(spark, sf_dir):
     """Errors of one user within an hour, two or more, unless the hour before gave that user's alert: of hours in a row every other one alerts."""
     e = load(spark, sf_dir, "events").where("event_type = 'error'")
@@ -207,7 +214,7 @@ plain("weighted_mean", "lineitem", "SELECT l_suppkey, round(sum(l_discount * l_q
 plain("inner_using", "orders customer", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_totalprice > 400000")
 plain("left_chain", "customer nation region supplier", "SELECT c_custkey, n_name, r_name, s_name FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey LEFT JOIN {region} ON n_regionkey = r_regionkey LEFT JOIN {supplier} ON s_suppkey = c_custkey")
 plain("semi_join", "customer orders", "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
-plain("anti_join", "customer orders", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)")
+plain("anti_join", "customer orders", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 plain("lateral_top1", "customer orders", "SELECT c_custkey, x.o_orderkey FROM {customer} LEFT JOIN LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) x ON true")
 plain("lateral_topn", "customer orders", "SELECT c_custkey, x.o_orderkey FROM {customer} CROSS JOIN LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 3) x")
 plain("scalar_subquery", "customer orders", "SELECT c_custkey, (SELECT count(*) FROM {orders} WHERE o_custkey = c_custkey) AS n_orders FROM {customer}")

@@ -91,10 +91,11 @@ def save_heatmap(spark, sf_dir):
     return t.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.round(F.avg("latitude"), 6).alias("lat"), F.round(F.avg("longitude"), 6).alias("lon")).orderBy(F.col("n").desc(), "tx", "ty").limit(200)
 
 
-_SPLIT_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, CAST(floor((latitude + 90) / {32.0 / (1 << k)}) AS BIGINT) AS ty, CAST(floor((longitude + 180) / {32.0 / (1 << k)}) AS BIGINT) AS tx, count(*) AS n FROM a GROUP BY ALL" for k in range(7))
-
-
-@register(f"""WITH {_A}, c AS ({_SPLIT_LEVELS}) SELECT k.level, k.ty, k.tx, k.n FROM c k LEFT JOIN c f ON f.level = k.level - 1 AND f.ty = floor(k.ty / 2) AND f.tx = floor(k.tx / 2) WHERE (k.n <= 12 OR k.level = 6) AND (k.level = 0 OR f.n > 12)""")
+@register(f"""WITH {_A}, t AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS level, latitude, longitude FROM a),
+c AS MATERIALIZED (SELECT level, CAST(floor((latitude + 90) / (32.0 / (1 << level))) AS BIGINT) AS ty, CAST(floor((longitude + 180) / (32.0 / (1 << level))) AS BIGINT) AS tx, count(*) AS n FROM t GROUP BY ALL),
+f AS MATERIALIZED (SELECT level AS fl, ty AS fy, tx AS fx FROM c WHERE n > 12),
+k AS (SELECT *, level - 1 AS fl, CAST(floor(ty / 2) AS BIGINT) AS fy, CAST(floor(tx / 2) AS BIGINT) AS fx FROM c WHERE n <= 12 OR level = 6)
+SELECT level, ty, tx, n FROM k WHERE level = 0 UNION ALL SELECT level, ty, tx, n FROM k JOIN f USING (fl, fy, fx) WHERE level > 0""")
 def adaptive_shards(spark, sf_dir):
     return split_tiles(source_a(spark, sf_dir), "latitude", "longitude", 12)
 

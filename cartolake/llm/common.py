@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +74,18 @@ def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(rolling(h, min(width, len(h))))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows and about `size` bytes of a text column; a longer text is a part by itself."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            full = int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + size, "right"))
+            to = min(at + rows, max(full, at + 1), b.num_rows)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -89,6 +101,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether a query's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage, and executors can be lost without losing them."""
 
@@ -100,11 +116,16 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{what}"
 
     def keep(self, df: DataFrame, what: str = "t") -> DataFrame:
-        """Write, and read back with the same schema."""
-        where = self.path(what)
-        df.write.parquet(where)
-        gc.collect()
-        self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of plans that are done with
+        """Write, and read back with the same schema. The write's shuffle files go when it has ended."""
+        where, before = self.path(what), self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(where)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -1,25 +1,33 @@
-"""N-gram Jaccard join by an index of count vectors.
-
-A document is the set of its distinct word shingles. Shingles are hashed to groups, and a set's group counts are a point.
-Two sets with Jaccard similarity t or more differ in at most D = (1 - t) / t * (smaller size) shingles, so their points lie
-within D of each other, coordinate sums compared. A tree of boxes over all coordinates prunes nothing at that radius, since
-unrelated points are alike in each single coordinate. The coordinates are therefore dealt to D + 1 + m blocks: two points within D
-agree wholly in at least m + 1 of them. Each block is a leaf level: points equal there share a cell, found by its hash.
-
-Of those m + 1 blocks one is enough, so a point may do without some: it leaves the m1 blocks at most that hold the fewest shingles, by
-a limit on their number that any partner's blocks are held to in the same way, and leaves its crowded cells if they are at most m2,
-m1 + m2 = m. So empty blocks, and a passage that many unrelated texts share, bring no pairs. Candidates are bounded by the summed minima of
-the coarse points, then verified on the whole sets. Within a cell all points are first tried against the one that shares most; pairs
-within a component need no test; what is still apart is tried in full, in blocks of bounded size. No link between different
-components is left untested, so components are exact.
-
-Texts with equal sets are one node, whose copies only take its component. A null or empty text has no shingles and is
-linked with nothing; a text shorter than a shingle is one shingle. Repeated doc_ids are separate rows in a shared class.
+"""N-gram Jaccard join by a tree of count vectors.
+
+A document is the set of its distinct word shingles. Shingles are hashed to groups, and a set's group counts are a point. The summed
+minima of two points' coordinates bound the sets' overlap from above; with the boxes of a tree over the points, a box's greatest
+coordinates take the place of the point's.
+
+The tree's root is dealt over the cluster by its finest coordinates (64-bit groups, one shingle each in practice). A set of n
+shingles reaches the similarity t only with an overlap of t * n, so its summed minima with any box that lacks n - t * n + 1 of its
+shingles are too small: it's filed in the boxes of that many of its shingles and meets all its partners there. The rarest ones are
+taken (all occurrences are counted by 2^bits groups beforehand; the order only decides how full the boxes get), so a passage that
+unrelated texts share fills none. In a box:
+
+1. All members are tried against the one whose filed shingles are the commonest, which is the centre of a family of near copies.
+   Boxes of very many members are dealt into parts with centres of their own, whose centres are tried against one of them.
+2. Linked members are components. Only boxes whose members lie in several components need more: a tree of coarse points is
+   bulk-loaded, components together, and joined with itself; two subtrees part where they are one component, or where sizes or
+   summed minima of their boxes exclude the similarity. Boxes with more than `block` members have several trees, joined in pairs.
+
+Surviving pairs are verified on the whole sets. No link between different components is left untested, so components are exact.
+
+Texts with equal sets are one node, whose copies only take its component. A null or empty text has no shingles and is linked with
+nothing; a text shorter than a shingle is one shingle. Texts of any length are read whole, a few at a time. Repeated doc_ids are
+separate rows in a shared class; rows without a doc_id get no component of their own, but that of an equal text. Of ties the least
+doc_id names a component. Extra columns, whatever their names, aren't read. An empty table gives an empty result. doc_id has to be of
+an integer type.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -27,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import Scratch, WordHashes, lower_words_of, mix, shingle_set
+from .common import Scratch, WordHashes, lower_words_of, mix, rolling, slices
 from .components import components
 
 
@@ -38,55 +47,95 @@ class JoinParams:
     #: Similarity, as a fraction.
     over: int = 80
     under: int = 100
-    #: Size classes' ratio; blocks that may be left for few shingles and for crowded cells, per needed block; members from which a cell counts as crowded; groups of the coarse point.
-    ratio: float = 1.5
-    sparse: float = 0.28
-    spare: float = 0.08
-    crowded: int = 32
+    #: Occurrences are counted in 2^bits groups; a byte each is sent to the workers.
+    bits: int = 20
+    #: Boxes of possibly more members are dealt into parts of about this many.
+    part: int = 4096
+    #: Groups of the coarse point; points in a leaf and children of a node of the tree.
     coarse: int = 128
-    #: The cells are built in so many passes, which bounds the disk that a pass needs.
-    passes: int = 4
-    #: In the last comparison, members up to which a cell's pairs are listed, and members of a block in larger ones.
+    fan: int = 16
+    #: Members up to which a box's pairs are listed without a tree, and members that are joined in one task.
     small: int = 8
-    block: int = 128
+    block: int = 2048
     #: Nodes (8 bytes each) that may be broadcast.
     broadcast_nodes: int = 1_000_000
 
-    def limits(self) -> np.ndarray:
-        """Lower size bounds of the classes; at most 64 classes."""
-        out = [1]
-        while out[-1] < 1 << 40 and len(out) < 64:
-            out.append(max(out[-1] + 1, math.ceil(out[-1] * self.ratio)))
-        return np.array(out, np.int64)
-
-    def blocks(self, k: int, limits: np.ndarray) -> tuple[int, int, int]:
-        """Blocks of a class, and how many a point may leave as sparse and as crowded."""
-        d = (self.under - self.over) * (int(limits[k + 1]) - 1) // self.over
-        m1, m2 = math.ceil(d * self.sparse), math.ceil(d * self.spare)
-        return d + 1 + m1 + m2, m1, m2
-
-
-_GROUP = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def cells_of(s: np.ndarray, p: JoinParams, limits: np.ndarray) -> np.ndarray:
-    """The cells of a sorted set, in the class of its own size and those of smaller sizes within reach. The last six bits are the class."""
-    n = len(s)
-    least = -(-p.over * n // p.under)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_GROUP[s & np.uint64(4095)])])
-        out = []
-        high = s >> np.uint64(32)
-        for k in range(int(np.searchsorted(limits, least, "right")) - 1, int(np.searchsorted(limits, n, "right"))):
-            b, m1, _ = p.blocks(k, limits)
-            edges = np.searchsorted((high * np.uint64(b)) >> np.uint64(32), np.arange(b + 1, dtype=np.uint64))
-            own = sums[edges[1:]] - sums[edges[:-1]]
-            key = mix(own ^ mix(np.arange(b, dtype=np.uint64) + (np.uint64(k + 1) << np.uint64(40))))
-            if m1:
-                count = edges[1:] - edges[:-1]
-                key = key[count > np.partition(count, m1)[m1] - 1]
-            out.append((key & ~np.uint64(63)) | np.uint64(k))
-    return np.concatenate(out)
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """The least overlap that a set of n shingles needs."""
+        return -(-self.over * n // self.under)
+
+
+def _texts(batches: Iterable[pa.RecordBatch], width: int, hashes: WordHashes) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches, with each text's shingles, as often as they occur."""
+    for part in slices(batches):
+        words = [lower_words_of(t) for t in part["text"].to_pylist()]
+        sizes = [len(w) for w in words]
+        every = hashes([w for own in words for w in own])
+        runs, out, end = rolling(every, width), [], 0
+        for n in sizes:
+            end += n
+            out.append(runs[end - n : end - width + 1] if n >= width else rolling(every[end - n : end], max(n, 1)))
+        yield part, out
+
+
+def _set(runs: np.ndarray) -> np.ndarray:
+    """Sorted distinct shingles."""
+    if len(runs) < 2:
+        return runs
+    s = np.sort(runs)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def _add(rows: Iterable[pa.RecordBatch], groups: int) -> np.ndarray:
+    total = np.zeros(groups, np.uint64)
+    for b in rows:
+        for x in b["counts"].to_pylist():
+            total += np.frombuffer(zlib.decompress(x), np.uint64)
+    return total
+
+
+def _blob(counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"counts": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+
+
+def commonness(documents: DataFrame, p: JoinParams) -> bytes:
+    """How often the shingles of each group occur in all documents, as 4 * log2(1 + count) in a byte, deflated: a table of fixed size.
+    Each task adds up its own documents; the sums are added in two steps."""
+    groups = 1 << p.bits
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(groups, np.uint64)
+        for _, texts in _texts(batches, p.width, WordHashes()):
+            np.add.at(total, (np.concatenate(texts) >> np.uint64(64 - p.bits)).astype(np.int64), np.uint64(1))
+        yield _blob(total)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _blob(_add(batches, groups))
+
+    def classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = _add(batches, groups)
+        level = np.minimum(255, 4 * np.log2(1 + total.astype(np.float64))).astype(np.uint8)
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([zlib.compress(level.tobytes(), 6)], pa.binary())})
+
+    one = documents.select("text").mapInArrow(count, "counts binary").repartition(16).mapInArrow(add, "counts binary")
+    return bytes(one.repartition(1).mapInArrow(classes, "counts binary").first()[0])
+
+
+def parts_of(level: np.ndarray, p: JoinParams) -> np.ndarray:
+    """log2 of the parts that a box of a group of each level is dealt into: its count over p.part, but for what an even spread brings."""
+    count = np.exp2(np.arange(257) / 4)
+    even = count[level].mean() * 4
+    return np.clip(np.floor(np.log2(count / max(p.part, even))), 0, 40).astype(np.int64)
+
+
+def filed(s: np.ndarray, level: np.ndarray, parts: np.ndarray, p: JoinParams) -> tuple[np.ndarray, int]:
+    """The boxes of a set (58 bits of a shingle, then log2 of the box's parts) and how common their shingles are."""
+    of = level[(s >> np.uint64(64 - p.bits)).astype(np.int64)]
+    order = (of.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+    k = len(s) - int(p.needed(len(s))) + 1
+    first = np.argpartition(order, k - 1)[:k] if k < len(s) else np.arange(len(s))
+    own = of[first]
+    return (s[first] & ~np.uint64(63)) | parts[own].astype(np.uint64), int(16 * own.mean())
 
 
 def point_of(s: np.ndarray, groups: int) -> bytes:
@@ -102,60 +151,92 @@ def bounded(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, p: Joi
     return (p.under * low >= p.over * high) & (p.under * most >= p.over * (na + nb - np.minimum(most, na + nb)))
 
 
-def sketch(documents: DataFrame, p: JoinParams) -> DataFrame:
-    """doc_id, n, f1, f2 (the set's fingerprint), point, cells."""
+def sketch(documents: DataFrame, common: bytes, p: JoinParams) -> DataFrame:
+    """doc_id, n, f1, f2 (the set's fingerprint), point, boxes, rank (how common the boxes' shingles are)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, limits = WordHashes(), p.limits()
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                n, f1, f2, point, cells = [], [], [], [], []
-                for t in part["text"].to_pylist():
-                    s = shingle_set(hashes(lower_words_of(t)), p.width)
-                    n.append(len(s))
-                    if not len(s):
-                        f1.append(None)
-                        f2.append(None)
-                        point.append(None)
-                        cells.append(None)
-                        continue
-                    with np.errstate(over="ignore"):
-                        f1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                        f2.append(int(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64)))
-                    point.append(point_of(s, p.coarse))
-                    cells.append(cells_of(s, p, limits).tobytes())
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "n": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()), "point": pa.array(point, pa.binary()), "cells": pa.array(cells, pa.binary())})
+        level = np.frombuffer(zlib.decompress(common), np.uint8)
+        parts = parts_of(level, p)
+        for part, texts in _texts(batches, p.width, WordHashes()):
+            n, f1, f2, point, boxes, rank = [], [], [], [], [], []
+            for runs in texts:
+                s = _set(runs)
+                n.append(len(s))
+                if not len(s):
+                    for x in (f1, f2, point, boxes, rank):
+                        x.append(None)
+                    continue
+                with np.errstate(over="ignore"):
+                    f1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
+                    f2.append(int(mix(s ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64).view(np.int64)))
+                point.append(point_of(s, p.coarse))
+                own, r = filed(s, level, parts, p)
+                boxes.append(own.tobytes())
+                rank.append(r)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part["doc_id"], "n": pa.array(n, pa.int64()), "f1": pa.array(f1, pa.int64()), "f2": pa.array(f2, pa.int64()),
+                "point": pa.array(point, pa.binary()), "boxes": pa.array(boxes, pa.binary()), "rank": pa.array(rank, pa.int32()),
+            })
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, point binary, cells binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, point binary, boxes binary, rank int")
 
 
-def members(nodes: DataFrame, p: JoinParams, k: int) -> DataFrame:
-    """cell, node for the cells of pass k."""
+def members(nodes: DataFrame) -> DataFrame:
+    """box, part, rank, node of all nodes' boxes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = part["node"].to_numpy(zero_copy_only=False)
-                got = [np.frombuffer(c, np.int64) for c in part["cells"].to_pylist()]
-                if not got:
-                    continue
-                cell, node = np.concatenate(got), np.repeat(ids, [len(g) for g in got])
-                own = (cell >> 8) % p.passes == k
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(cell[own]), "node": pa.array(node[own])})
+                got = [np.frombuffer(c, np.int64) for c in part["boxes"].to_pylist()]
+                times = [len(g) for g in got]
+                box, node = np.concatenate(got), np.repeat(part["node"].to_numpy(zero_copy_only=False), times)
+                own = (mix(node.view(np.uint64)) >> np.uint64(23)).astype(np.int64) & ((np.int64(1) << (box & 63)) - 1)
+                yield pa.RecordBatch.from_pydict({"box": pa.array(box), "part": pa.array(own), "rank": pa.array(np.repeat(part["rank"].to_numpy(), times), pa.int32()), "node": pa.array(node)})
+
+    return nodes.select("node", "rank", "boxes").mapInArrow(run, "box long, part long, rank int, node long")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """box, part, center, node: members of boxes that others are filed in too, with the member of the highest rank, of equals the least
+    node. The rows are shuffled and sorted once; boxes are read off as they pass by. A single member of a part of a box is its center."""
 
-    return nodes.select("node", "cells").mapInArrow(run, "cell long, node long")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, int, int, int, bool] | None = None  # box, part, center, node of the last row, and whether it stood alone so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            box, part, node = (b[k].to_numpy() for k in ("box", "part", "node"))
+            if held:
+                box, part, node = (np.concatenate([[x], y]) for x, y in zip((held[0], held[1], held[3]), (box, part, node), strict=True))
+            start = np.concatenate([[True], (box[1:] != box[:-1]) | (part[1:] != part[:-1])])
+            center = node[np.flatnonzero(start)][np.cumsum(start) - 1]
+            if held:
+                center[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(center)] = held[2]
+            more = np.concatenate([~start[1:], [False]])  # the next row is of the same part
+            out = ~start | more | ((box & 63) > 0)
+            if held:
+                out[0] = held[4] and bool(out[0])
+            last = len(box) - 1
+            # The first row of a part is held back until the next batch tells whether there is another.
+            alone = bool(start[last])
+            out[last] &= not alone
+            held = (int(box[last]), int(part[last]), int(center[last]), int(node[last]), alone)
+            yield pa.RecordBatch.from_pydict({"box": pa.array(box[out]), "part": pa.array(part[out]), "center": pa.array(center[out]), "node": pa.array(node[out])})
+        if held and held[4] and held[0] & 63:
+            yield pa.RecordBatch.from_pydict({k: pa.array([held[i]], pa.int64()) for i, k in enumerate(("box", "part", "center", "node"))})
+
+    dealt = rows.repartition("box", "part").sortWithinPartitions("box", "part", F.col("rank").desc(), "node")
+    return dealt.select("box", "part", "node").mapInArrow(run, "box long, part long, center long, node long")
 
 
 def sets(texts: DataFrame, p: JoinParams) -> DataFrame:
     """node, shingles (sorted unsigned 64-bit)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"node": b["node"], "shingles": pa.array([shingle_set(hashes(lower_words_of(t)), p.width).tobytes() for t in b["text"].to_pylist()], pa.binary())})
+        for part, own in _texts(batches, p.width, WordHashes()):
+            yield pa.RecordBatch.from_pydict({"node": part["node"], "shingles": pa.array([_set(s).tobytes() for s in own], pa.binary())})
 
     return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
@@ -197,112 +278,136 @@ def verify(pairs: DataFrame, documents: DataFrame, scratch: Scratch, p: JoinPara
 
     left, right = whole.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), whole.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     links = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "links")
-    scratch.drop(whole)
+    scratch.drop(whole, need)
     return links
 
 
-def _leaving(shared: DataFrame, p: JoinParams) -> DataFrame:
-    """node, class of the nodes that may leave all their crowded cells of a class."""
-    limits = p.limits()
-    may = F.create_map(*[F.lit(x) for k in range(len(limits) - 1) for x in (k, p.blocks(k, limits)[2])])
-    crowded = shared.where(F.col("size") > p.crowded).withColumn("class", F.col("cell").bitwiseAND(63).cast("int"))
-    return crowded.groupBy("node", "class").agg(F.count("*").alias("c")).where(F.col("c") <= may[F.col("class")]).select("node", "class")
-
-
-def _less_crowded(shared: DataFrame, leaving: DataFrame, p: JoinParams) -> DataFrame:
-    """cell, node, size without the crowded cells of the nodes that leave them. Only crowded cells are counted anew, and go if one node is left."""
-    crowded = shared.where(F.col("size") > p.crowded).withColumn("class", F.col("cell").bitwiseAND(63).cast("int"))
-    rest = crowded.join(leaving, ["node", "class"], "left_anti").select("cell", "node")
-    again = rest.join(rest.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1"), "cell")
-    return shared.where(F.col("size") <= p.crowded).select("cell", "node", "size").unionByName(again.select("cell", "node", "size"))
-
-
-def _centred(cells: DataFrame, weight: DataFrame) -> DataFrame:
-    """cell, node, size, center: the cell's node with the greatest weight, of equals the least."""
-    center = cells.join(weight, "node").groupBy("cell").agg(F.max(F.struct("weight", (-F.col("node")).alias("x"))).alias("m")).select("cell", (-F.col("m.x")).alias("center"))
-    return cells.join(center, "cell")
-
-
-def _apart(cells: DataFrame, comp: DataFrame) -> DataFrame:
-    """Cells of three or more nodes that lie in several components, with each node's component."""
-    now = cells.where("size > 2").join(comp, "node", "left").select("cell", "node", "size", "center", F.coalesce("component", "node").alias("comp"))
-    open_ = now.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    return now.join(open_, "cell", "left_semi")
-
-
-def _all(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
-def _far_pairs(apart: DataFrame, nodes: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
-    """Pairs in different components that share a cell of many nodes. Nodes joined by such cells are one field; its pairs are tried by
-    the bound in blocks of about p.block nodes, each pair of blocks a small task of its own."""
-    field = components(apart.select(F.col("node").alias("a"), F.col("center").alias("b")), scratch).withColumnRenamed("component", "field")
-    sizes = field.groupBy("field").agg(F.ceil(F.count("*") / p.block).cast("int").alias("blocks"))
-    comps = apart.select("node", "comp").distinct()
-    rows = field.join(sizes, "field").join(comps, "node").join(nodes.select("node", "n", "point"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("field", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "point")
+class Tree:
+    """An R-tree of points in bulk-loaded order. Level 0 holds the points; each box above covers `fan` neighbours of the level below by
+    their greatest coordinates, their least and greatest size, and their component if they have only one (else -1)."""
+
+    def __init__(self, comp: np.ndarray, n: np.ndarray, points: np.ndarray, fan: int):
+        self.fan, self.levels = fan, [(comp, n, n, points)]
+        while len(self.levels[-1][0]) > 1:
+            c, low, high, top = self.levels[-1]
+            at = np.arange(0, len(c), fan)
+            least, most = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
+            self.levels.append((np.where(least == most, least, -1), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(top, at, axis=0)))
+
+    def children(self, level: int, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places on the level below of the boxes i, and for each the index into i."""
+        first = i * self.fan
+        size = np.minimum(self.fan, len(self.levels[level - 1][0]) - first)
+        of = np.repeat(np.arange(len(i)), size)
+        return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[of], of
+
+
+def may_meet(a: tuple, b: tuple, p: JoinParams) -> np.ndarray:
+    """Whether boxes may hold similar sets of different components: (component, least size, greatest size, greatest coordinates) each."""
+    most = np.minimum(a[3], b[3])
+    bound = most.sum(axis=-1, dtype=np.int64) + (1 << 40) * (most == 255).any(axis=-1)
+    least = np.maximum(p.needed(a[1]), p.needed(b[1]))
+    fits = (p.under * a[2] >= p.over * b[1]) & (p.under * b[2] >= p.over * a[1]) & (bound >= least)
+    return fits & ~((a[0] == b[0]) & (a[0] >= 0))
+
+
+def tree_pairs(left: Tree, right: Tree, p: JoinParams, chunk: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of points in different components that sizes and summed minima allow. Pairs of boxes are opened level by level, the
+    later ones of a level after the earlier ones' points, in chunks of bounded size."""
+    todo = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        u, v, i, j = todo.pop()
+        if len(i) > chunk:
+            todo.append((u, v, i[chunk:], j[chunk:]))
+            i, j = i[:chunk], j[:chunk]
+        a, b = tuple(x[i] for x in left.levels[u]), tuple(x[j] for x in right.levels[v])
+        own = may_meet(a, b, p)
+        i, j = i[own], j[own]
+        if not len(i):
+            continue
+        if u == 0 and v == 0:
+            fine = bounded(left.levels[0][1][i], right.levels[0][1][j], left.levels[0][3][i], right.levels[0][3][j], p)
+            yield i[fine], j[fine]
+            continue
+        step = max(1, chunk // (p.fan * p.fan))
+        for at in range(0, len(i), step):
+            x, y, nu, nv = i[at : at + step], j[at : at + step], u, v
+            if u >= v:
+                x, of = left.children(u, x)
+                y, nu = y[of], u - 1
+            if v >= u:
+                y, of = right.children(v, y)
+                x, nv = x[of], v - 1
+            todo.append((nu, nv, x, y))
+
+
+def _apart(held: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """box, node, comp, size, main, rest of the members of boxes of three or more that lie in several components: the commonest of these
+    in the box, and how many members are in others. Members of a box and component are counted before boxes are."""
+    now = held.select("box", "node").join(comp, "node", "left").select("box", "node", F.coalesce("component", "node").alias("comp"))
+    now = scratch.keep(now, "placed")
+    each = now.groupBy("box", "comp").agg(F.count("*").alias("c"))
+    boxes = each.groupBy("box").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("x")).where("x.c < size AND size > 2")
+    return now.join(boxes.select("box", "size", F.col("x.comp").alias("main"), (F.col("size") - F.col("x.c")).alias("rest")), "box")
+
+
+def _far_pairs(apart: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """Pairs in different components that share a box of many members. One of them isn't of the box's main component: trees of those
+    are joined with trees of all members, about p.block points each, two by two."""
+    rows = apart.withColumn("i", F.ceil(F.col("rest") / p.block).cast("int")).withColumn("j", F.ceil(F.col("size") / p.block).cast("int"))
+    rows = rows.join(nodes.select("node", "n", "point"), "node").withColumn("h", F.xxhash64("node"))
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+        return side.select("box", F.pmod(F.col("h"), F.col(own)).cast("int").alias(own), every, F.lit(own == "i").alias("left"), (F.col("comp") != F.col("main")).alias("strays"), "node", "comp", "n", "point").select("box", "i", "j", "left", "strays", "node", "comp", "n", "point")
+
+    both = dealt(rows.where("comp <> main"), "i", "j").unionByName(dealt(rows, "j", "i"))
 
     def run(table: pa.Table) -> pa.Table:
-        own, node, comp, n = (table[k].to_numpy() for k in ("own", "node", "comp", "n"))
+        left, strays, node, comp, n = (table[k].to_numpy() for k in ("left", "strays", "node", "comp", "n"))
         q = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint8).reshape(-1, p.coarse)
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        x, y = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [], []
-        for u in x:
-            v = y[(comp[y] != comp[u]) & ((node[y] < node[u]) if i == j else True)]
-            v = v[bounded(np.full(len(v), n[u]), n[v], q[u], q[v], p)] if len(v) else v
-            a.append(np.maximum(node[u], node[v]))
-            b.append(np.minimum(node[u], node[v]))
-        return pa.table({"a": pa.array(np.concatenate(a) if a else [], pa.int64()), "b": pa.array(np.concatenate(b) if b else [], pa.int64())})
+        place = [x[np.lexsort((n[x], comp[x]))] for x in (np.flatnonzero(left), np.flatnonzero(~left))]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if all(len(x) for x in place):
+            for x, y in tree_pairs(*[Tree(comp[x], n[x], q[x], p.fan) for x in place], p):
+                x, y = place[0][x], place[1][y]
+                once = ~strays[y] | (node[x] > node[y])  # two strays meet both ways
+                x, y = node[x[once]], node[y[once]]
+                a.append(np.maximum(x, y))
+                b.append(np.minimum(x, y))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("field", "i", "j").applyInArrow(run, "a long, b long")
+    return both.groupBy("box", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach, itself included), n_copies (documents with the same set)."""
+    if not isinstance(documents.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be of an integer type")
     scratch = Scratch(documents.sparkSession, "ngram-join")
-    wide = scratch.keep(sketch(documents, p), "sketches")
-    found = wide.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "n", "point", "cells"), "doc_id").alias("x"), F.count("*").alias("n_copies"))
-    nodes = scratch.keep(found.select("f1", "f2", F.col("x.doc_id").cast("long").alias("node"), "x.n", "x.point", "x.cells", "n_copies"), "nodes")
+    wide = scratch.keep(sketch(documents, commonness(documents, p), p), "sketches")
+    found = wide.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "n", "point", "boxes", "rank"), "doc_id").alias("x"), F.count("*").alias("n_copies"))
+    nodes = scratch.keep(found.select("f1", "f2", F.col("x.doc_id").cast("long").alias("node"), "x.n", "x.point", "x.boxes", "x.rank", "n_copies"), "nodes")
     sketches = scratch.keep(wide.select("doc_id", "n", "f1", "f2"), "sets")
     scratch.drop(wide)
 
-    pairs, shared = [], []
-    for k in range(p.passes):
-        own = members(nodes, p, k)
-        cells = scratch.keep(own.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("b"), F.max("node").alias("a")).where("size > 1"), "cells")
-        pairs.append(cells.where("size = 2").select("a", "b"))
-        shared.append(scratch.keep(own.join(cells.where("size > 2").select("cell", "size").hint("shuffle_hash"), "cell"), "shared"))
-    wide, nodes = nodes, scratch.keep(nodes.drop("cells"), "points")
-    scratch.drop(wide)
-    leaving, many = scratch.keep(_leaving(_all(shared), p), "leaving"), []
-    for t in shared:
-        many.append(scratch.keep(_less_crowded(t, leaving, p), "cells"))
-        scratch.drop(t)
-    weight = scratch.keep(_all(many).groupBy("node").agg(F.sum(F.col("size") - 1).alias("weight")), "weights")
-    for k, t in enumerate(many):
-        many[k] = scratch.keep(_centred(t, weight), "centres")
-        scratch.drop(t)
-    star = _all(many).where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b"))
-    tried = scratch.keep(prune(star.unionByName(_all(pairs)).where("a <> b").distinct(), nodes, p), "pairs")
-    scratch.drop(*pairs)
+    held = scratch.keep(shared(members(nodes)), "shared")
+    slim = scratch.keep(nodes.drop("boxes", "rank"), "points")
+    scratch.drop(nodes)
+    nodes = slim
+    # Centers of a dealt box's parts: at most its members over p.part.
+    centers = held.where(F.col("box").bitwiseAND(63) > 0).select("box", F.col("center").alias("node")).distinct()
+    tops = centers.groupBy("box").agg(F.min("node").alias("center"))
+    star = held.select("center", "node").unionByName(centers.join(tops, "box").select("center", "node"))
+    star = star.where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
+    tried = scratch.keep(prune(star, nodes, p), "pairs")
     links = verify(tried, documents, scratch, p)
 
-    comp = components(links, scratch)
-    apart = []
-    for t in many:
-        apart.append(scratch.keep(_apart(t, comp), "apart"))
-        scratch.drop(t)
-    apart = _all(apart)
-    few = apart.where(F.col("size") <= p.small).where("node <> center").select("cell", "node", "comp")
-    listed = few.alias("x").join(few.alias("y"), "cell").where("x.node > y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    far = _far_pairs(apart.where(F.col("size") > p.small), nodes, scratch, p)
-    more = scratch.keep(prune(listed, nodes, p).unionByName(far).distinct(), "more")
+    apart = scratch.keep(_apart(held, components(links, scratch), scratch), "apart")
+    few = apart.where(F.col("size") <= p.small).select("box", "node", "comp")
+    listed = few.alias("x").join(few.alias("y"), "box").where("x.node > y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    far = _far_pairs(apart.where(F.col("size") > p.small), nodes, p)
+    more = scratch.keep(prune(listed, nodes, p).unionByName(far).distinct().join(tried, ["a", "b"], "left_anti"), "more")
     links = links.unionByName(verify(more, documents, scratch, p))
 
     comp = components(links, scratch)

@@ -10,13 +10,14 @@ shingles are too small: it's filed in the boxes of that many of its shingles and
 taken (all occurrences are counted by 2^bits groups beforehand; the order only decides how full the boxes get), so a passage that
 unrelated texts share fills none. In a box:
 
-1. All members are tried against the one whose filed shingles are the commonest, which is the centre of a family of near copies.
-   Boxes of very many members are dealt into parts with centres of their own, whose centres are tried against one of them.
-2. Linked members are components. Only boxes whose members lie in several components need more: a tree of coarse points is
+1. Points of a few groups go along. All members are tried by them against the one whose filed shingles are the commonest, the
+   centre of a family of near copies; of a few members, all pairs are. Boxes of very many members are dealt into parts with
+   centres of their own, whose centres are tried against one of them. What the bound leaves is verified.
+2. Linked members are components. Only boxes of many whose members lie in several components need more: a tree of coarse points is
    bulk-loaded, components together, and joined with itself; two subtrees part where they are one component, or where sizes or
    summed minima of their boxes exclude the similarity. Boxes with more than `block` members have several trees, joined in pairs.
 
-Surviving pairs are verified on the whole sets. No link between different components is left untested, so components are exact.
+Surviving pairs of different components are verified on the whole sets. No link between different components is left untested, so components are exact.
 
 Texts with equal sets are one node, whose copies only take its component. A null or empty text has no shingles and is linked with
 nothing; a text shorter than a shingle is one shingle. Texts of any length are read whole, a few at a time. Repeated doc_ids are
@@ -51,8 +52,9 @@ class JoinParams:
     bits: int = 20
     #: Boxes of possibly more members are dealt into parts of about this many.
     part: int = 4096
-    #: Groups of the coarse point; points in a leaf and children of a node of the tree.
+    #: Groups of the coarse point, and of the smaller one that goes along to the boxes (a divisor); children of a box of the tree.
     coarse: int = 128
+    fine: int = 32
     fan: int = 16
     #: Members up to which a box's pairs are listed without a tree, and members that are joined in one task.
     small: int = 8
@@ -182,8 +184,8 @@ def sketch(documents: DataFrame, common: bytes, p: JoinParams) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, f1 long, f2 long, point binary, boxes binary, rank int")
 
 
-def members(nodes: DataFrame) -> DataFrame:
-    """box, part, rank, node of all nodes' boxes."""
+def members(nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """box, part, rank, node, n, q (a point of p.fine groups) of all nodes' boxes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,44 +193,111 @@ def members(nodes: DataFrame) -> DataFrame:
                 part = b.slice(at, 512)
                 got = [np.frombuffer(c, np.int64) for c in part["boxes"].to_pylist()]
                 times = [len(g) for g in got]
-                box, node = np.concatenate(got), np.repeat(part["node"].to_numpy(zero_copy_only=False), times)
+                coarse = np.frombuffer(b"".join(part["point"].to_pylist()), np.uint8).astype(np.int64).reshape(len(got), -1, p.fine)
+                q = np.repeat(np.minimum(coarse.sum(axis=1), 255).astype(np.uint8), times, axis=0)
+                box = np.concatenate(got)
+                node, rank, n = (np.repeat(part[k].to_numpy(zero_copy_only=False), times) for k in ("node", "rank", "n"))
                 own = (mix(node.view(np.uint64)) >> np.uint64(23)).astype(np.int64) & ((np.int64(1) << (box & 63)) - 1)
-                yield pa.RecordBatch.from_pydict({"box": pa.array(box), "part": pa.array(own), "rank": pa.array(np.repeat(part["rank"].to_numpy(), times), pa.int32()), "node": pa.array(node)})
+                ends = np.arange(len(box) + 1, dtype=np.int32) * p.fine
+                points = pa.Array.from_buffers(pa.binary(), len(box), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(q.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(box), pa.array(own), pa.array(rank), pa.array(node), pa.array(n), points], ["box", "part", "rank", "node", "n", "q"])
 
-    return nodes.select("node", "rank", "boxes").mapInArrow(run, "box long, part long, rank int, node long")
+    return nodes.select("node", "rank", "n", "point", "boxes").mapInArrow(run, "box long, part long, rank int, node long, n long, q binary")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """box, part, center, node: members of boxes that others are filed in too, with the member of the highest rank, of equals the least
-    node. The rows are shuffled and sorted once; boxes are read off as they pass by. A single member of a part of a box is its center."""
+class _Rows:
+    """Rows of boxes as arrays."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.columns = columns
+        self.box, self.part, self.node, self.n, self.q = columns
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch, p: JoinParams) -> _Rows:
+        return cls([*(b[k].to_numpy() for k in ("box", "part", "node", "n")), np.frombuffer(b"".join(b["q"].to_pylist()), np.uint8).reshape(-1, p.fine)])
+
+    def __add__(self, other: _Rows) -> _Rows:
+        return _Rows([np.concatenate(x) for x in zip(self.columns, other.columns, strict=True)])
+
+    def __getitem__(self, at) -> _Rows:
+        return _Rows([x[at] for x in self.columns])
+
+    def __len__(self) -> int:
+        return len(self.box)
+
+    def near(self, a: np.ndarray, b: np.ndarray, p: JoinParams) -> np.ndarray:
+        return bounded(self.n[a], self.n[b], self.q[a], self.q[b], p)
+
+
+_SHARED = pa.schema([("kind", pa.int8()), ("box", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _out(kind: int, box: np.ndarray | int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(np.broadcast_to(box, len(a)).astype(np.int64)), pa.array(a), pa.array(b)], schema=_SHARED)
+
+
+#: Kinds of rows of `shared`: a pair with its box's center, another pair; a member b of a box whose center a it may be similar to, one that can't.
+PAIR, OTHER, MEMBER, STRANGER = 0, 1, 2, 3
+
+
+def shared(rows: DataFrame, p: JoinParams) -> DataFrame:
+    """kind, box, a, b. The rows of boxes are shuffled and sorted once, by descending rank within a part of a box, and read off as they
+    pass by; the first one is the part's center. Of a box of up to p.small members the pairs that their points allow come out, of
+    larger and of dealt ones the members."""
+
+    def runs(rows: _Rows, first: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole parts of boxes, from row `first` to before row `last`."""
+        size, dealt = last - first, (rows.box[first] & 63) > 0
+        for j in range(1, p.small):
+            for i in range(j):
+                at = first[(size > j) & (size <= p.small) & ~dealt]
+                own = rows.near(at + i, at + j, p)
+                if own.any():
+                    yield _out(OTHER if i else PAIR, 0, rows.node[at[own] + i], rows.node[at[own] + j])
+            if not len(at):
+                break
+        many = dealt | (size > p.small)
+        if many.any():
+            of = np.repeat(first[many], size[many])
+            x = of + np.arange(len(of)) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
+            yield from placed(rows[x], rows.node[of], rows.near(x, of, p))
+
+    def placed(rows: _Rows, center: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for kind, own in ((MEMBER, near), (STRANGER, ~near)):
+            if own.any():
+                yield _out(kind, rows.box[own], center[own], rows.node[own])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int, int, bool] | None = None  # box, part, center, node of the last row, and whether it stood alone so far
+        held: _Rows | None = None  # rows of a part that the next batch may go on with
+        large: _Rows | None = None  # the center of a part of more rows than are held
         for b in batches:
             if not b.num_rows:
                 continue
-            box, part, node = (b[k].to_numpy() for k in ("box", "part", "node"))
-            if held:
-                box, part, node = (np.concatenate([[x], y]) for x, y in zip((held[0], held[1], held[3]), (box, part, node), strict=True))
-            start = np.concatenate([[True], (box[1:] != box[:-1]) | (part[1:] != part[:-1])])
-            center = node[np.flatnonzero(start)][np.cumsum(start) - 1]
-            if held:
-                center[: int(np.argmax(start[1:])) + 1 if start[1:].any() else len(center)] = held[2]
-            more = np.concatenate([~start[1:], [False]])  # the next row is of the same part
-            out = ~start | more | ((box & 63) > 0)
-            if held:
-                out[0] = held[4] and bool(out[0])
-            last = len(box) - 1
-            # The first row of a part is held back until the next batch tells whether there is another.
-            alone = bool(start[last])
-            out[last] &= not alone
-            held = (int(box[last]), int(part[last]), int(center[last]), int(node[last]), alone)
-            yield pa.RecordBatch.from_pydict({"box": pa.array(box[out]), "part": pa.array(part[out]), "center": pa.array(center[out]), "node": pa.array(node[out])})
-        if held and held[4] and held[0] & 63:
-            yield pa.RecordBatch.from_pydict({k: pa.array([held[i]], pa.int64()) for i, k in enumerate(("box", "part", "center", "node"))})
+            rows = _Rows.of(b, p)
+            if large is not None:
+                other = (rows.box != large.box[0]) | (rows.part != large.part[0])
+                on = int(np.argmax(other)) if other.any() else len(rows)
+                if on:
+                    both = large + rows[:on]
+                    own = np.arange(1, on + 1)
+                    yield from placed(rows[:on], np.full(on, large.node[0]), both.near(own, np.zeros(on, np.int64), p))
+                if on == len(rows):
+                    continue
+                rows, large = rows[on:], None
+            if held is not None:
+                rows = held + rows
+            start = np.flatnonzero(np.concatenate([[True], (rows.box[1:] != rows.box[:-1]) | (rows.part[1:] != rows.part[:-1])]))
+            tail = int(start[-1])
+            yield from runs(rows, start[:-1], start[1:])
+            held = rows[tail:]
+            if len(held) > p.small:
+                yield from runs(held, np.zeros(1, np.int64), np.array([len(held)]))
+                large, held = held[:1], None
+        if held is not None:
+            yield from runs(held, np.zeros(1, np.int64), np.array([len(held)]))
 
     dealt = rows.repartition("box", "part").sortWithinPartitions("box", "part", F.col("rank").desc(), "node")
-    return dealt.select("box", "part", "node").mapInArrow(run, "box long, part long, center long, node long")
+    return dealt.select("box", "part", "node", "n", "q").mapInArrow(run, "kind byte, box long, a long, b long")
 
 
 def sets(texts: DataFrame, p: JoinParams) -> DataFrame:
@@ -341,11 +410,16 @@ def tree_pairs(left: Tree, right: Tree, p: JoinParams, chunk: int = 50_000) -> I
             todo.append((nu, nv, x, y))
 
 
+def _named(rows: DataFrame, column: str, comp: DataFrame) -> DataFrame:
+    """The rows with the component of a node as <column>_comp."""
+    own = comp.select(F.col("node").alias(column), F.col("component").alias("_c"))
+    return rows.join(own, column, "left").withColumn(f"{column}_comp", F.coalesce("_c", column)).drop("_c")
+
+
 def _apart(held: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
-    """box, node, comp, size, main, rest of the members of boxes of three or more that lie in several components: the commonest of these
-    in the box, and how many members are in others. Members of a box and component are counted before boxes are."""
-    now = held.select("box", "node").join(comp, "node", "left").select("box", "node", F.coalesce("component", "node").alias("comp"))
-    now = scratch.keep(now, "placed")
+    """box, node, comp, size, main, rest of the members of boxes that lie in several components: the commonest of these in the box,
+    and how many members are in others. Members of a box and component are counted before boxes are."""
+    now = scratch.keep(_named(held.select("box", F.col("b").alias("node")), "node", comp).withColumnRenamed("node_comp", "comp"), "placed")
     each = now.groupBy("box", "comp").agg(F.count("*").alias("c"))
     boxes = each.groupBy("box").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("x")).where("x.c < size AND size > 2")
     return now.join(boxes.select("box", "size", F.col("x.comp").alias("main"), (F.col("size") - F.col("x.c")).alias("rest")), "box")
@@ -391,24 +465,27 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     sketches = scratch.keep(wide.select("doc_id", "n", "f1", "f2"), "sets")
     scratch.drop(wide)
 
-    held = scratch.keep(shared(members(nodes)), "shared")
+    held = scratch.keep(shared(members(nodes, p), p), "shared")
     slim = scratch.keep(nodes.drop("boxes", "rank"), "points")
     scratch.drop(nodes)
     nodes = slim
-    # Centers of a dealt box's parts: at most its members over p.part.
-    centers = held.where(F.col("box").bitwiseAND(63) > 0).select("box", F.col("center").alias("node")).distinct()
-    tops = centers.groupBy("box").agg(F.min("node").alias("center"))
-    star = held.select("center", "node").unionByName(centers.join(tops, "box").select("center", "node"))
-    star = star.where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
+    ordered = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # Centers of a dealt box's parts: at most its members over p.part. One of them is tried against the others.
+    centers = held.where(F.col("kind").isin(MEMBER, STRANGER) & (F.col("box").bitwiseAND(63) > 0)).select("box", "a").distinct()
+    tops = centers.join(centers.groupBy("box").agg(F.min("a").alias("b")), "box")
+    star = held.where(F.col("kind").isin(PAIR, MEMBER)).select("a", "b").unionByName(tops.select("a", "b")).where("a <> b").select(*ordered).distinct()
     tried = scratch.keep(prune(star, nodes, p), "pairs")
     links = verify(tried, documents, scratch, p)
 
-    apart = scratch.keep(_apart(held, components(links, scratch), scratch), "apart")
+    comp = components(links, scratch)
+    others = held.where(F.col("kind") == OTHER).select(*ordered).distinct()
+    others = _named(_named(others, "a", comp), "b", comp).where("a_comp <> b_comp").select("a", "b")
+    apart = scratch.keep(_apart(held.where(F.col("kind").isin(MEMBER, STRANGER)), comp, scratch), "apart")
     few = apart.where(F.col("size") <= p.small).select("box", "node", "comp")
-    listed = few.alias("x").join(few.alias("y"), "box").where("x.node > y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    listed = few.alias("x").join(few.alias("y"), "box").where("x.node > y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     far = _far_pairs(apart.where(F.col("size") > p.small), nodes, p)
-    more = scratch.keep(prune(listed, nodes, p).unionByName(far).distinct().join(tried, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(verify(more, documents, scratch, p))
+    more = prune(listed.unionByName(others).distinct(), nodes, p).unionByName(far).distinct().join(tried, ["a", "b"], "left_anti")
+    links = links.unionByName(verify(scratch.keep(more, "more"), documents, scratch, p))
 
     comp = components(links, scratch)
     named = nodes.join(comp, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component"), "n_copies")

@@ -94,21 +94,24 @@ def test_tree_loses_no_pair():
     assert got == want and 0 < len(want) < 30_000
 
 
-def test_shared_boxes_of_any_batches(spark):
-    """Runs of equal boxes are read off alike however the rows are cut into batches; members of dealt boxes are given even if alone."""
-    r = random.Random(8)
-    rows = [(r.choice([64, 128, 192, 257, 321]) if i % 3 else 640 + 64 * i, 0 if i % 2 else r.randint(0, 3), r.randint(0, 5), i) for i in range(300)]
-    want = set()
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_shared_boxes_of_any_batches(spark, size):
+    """Boxes are read off alike however the rows are cut into batches; members of dealt boxes are given even if alone."""
+    r, p = random.Random(8), ngram_join.JoinParams(small=3, fine=4)
+    rows = [(r.choice([64, 128, 192, 257, 321]) if i % 3 else 640 + 64 * (i % 40), 0 if i % 2 else r.randint(0, 3), r.randint(0, 5), i, 8, bytes(r.choice([(2, 2, 2, 2), (2, 2, 2, 1), (4, 0, 4, 0)]))) for i in range(300)]
+    near = lambda x, y: 9 * sum(map(min, x[5], y[5])) >= 8 * 8
+    want = []
     for key in {x[:2] for x in rows}:
         own = sorted((x for x in rows if x[:2] == key), key=lambda x: (-x[2], x[3]))
-        if len(own) > 1 or key[0] & 63:
-            want |= {(*key, own[0][3], x[3]) for x in own}
-    df = spark.createDataFrame(rows, "box long, part long, rank int, node long")
-    for size in (1, 2, 7, 1000):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-        got = [tuple(x) for x in ngram_join.shared(df).collect()]
-        assert set(got) == want and len(got) == len(want)
+        if len(own) > 3 or key[0] & 63:
+            want += [(2 if near(own[0], x) else 3, key[0], own[0][3], x[3]) for x in own]
+        else:
+            want += [(int(i > 0), 0, x[3], y[3]) for i, x in enumerate(own) for y in own[i + 1 :] if near(x, y)]
+    df = spark.createDataFrame(rows, "box long, part long, rank int, node long, n long, q binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = [tuple(x) for x in ngram_join.shared(df, p).collect()]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    assert sorted(got) == sorted(want) and {x[0] for x in want} == {0, 1, 2, 3}
 
 
 def near_texts():

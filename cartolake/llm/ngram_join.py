@@ -416,13 +416,15 @@ def _named(rows: DataFrame, column: str, comp: DataFrame) -> DataFrame:
     return rows.join(own, column, "left").withColumn(f"{column}_comp", F.coalesce("_c", column)).drop("_c")
 
 
-def _apart(held: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+def _apart(held: DataFrame, comp: DataFrame, scratch: Scratch, p: JoinParams) -> DataFrame:
     """box, node, comp, size, main, rest of the members of boxes that lie in several components: the commonest of these in the box,
-    and how many members are in others. Members of a box and component are counted before boxes are."""
+    and how many members are in others. Members of a box and component are counted before boxes are; up to p.broadcast_nodes boxes are
+    broadcast, so that the members of a large one aren't shuffled to one task."""
     now = scratch.keep(_named(held.select("box", F.col("b").alias("node")), "node", comp).withColumnRenamed("node_comp", "comp"), "placed")
     each = now.groupBy("box", "comp").agg(F.count("*").alias("c"))
     boxes = each.groupBy("box").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("x")).where("x.c < size AND size > 2")
-    return now.join(boxes.select("box", "size", F.col("x.comp").alias("main"), (F.col("size") - F.col("x.c")).alias("rest")), "box")
+    boxes = scratch.keep(boxes.select("box", "size", F.col("x.comp").alias("main"), (F.col("size") - F.col("x.c")).alias("rest")), "boxes")
+    return now.join(F.broadcast(boxes) if boxes.count() <= p.broadcast_nodes else boxes, "box")
 
 
 def _far_pairs(apart: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
@@ -480,7 +482,7 @@ def groups(documents: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     comp = components(links, scratch)
     others = held.where(F.col("kind") == OTHER).select(*ordered).distinct()
     others = _named(_named(others, "a", comp), "b", comp).where("a_comp <> b_comp").select("a", "b")
-    apart = scratch.keep(_apart(held.where(F.col("kind").isin(MEMBER, STRANGER)), comp, scratch), "apart")
+    apart = scratch.keep(_apart(held.where(F.col("kind").isin(MEMBER, STRANGER)), comp, scratch, p), "apart")
     few = apart.where(F.col("size") <= p.small).select("box", "node", "comp")
     listed = few.alias("x").join(few.alias("y"), "box").where("x.node > y.node AND x.comp <> y.comp").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     far = _far_pairs(apart.where(F.col("size") > p.small), nodes, p)

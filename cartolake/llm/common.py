@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ def lower_words_of(text: str | None) -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, remembered up to a bounded number of distinct words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.limit, self.seen = limit, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -74,7 +75,7 @@ def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(rolling(h, min(width, len(h))))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 1 << 22, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512, size: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows and about `size` bytes of a text column; a longer text is a part by itself."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -101,8 +102,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Whether a query's shuffle files are removed at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files are removed at the end, and batches for workers are small even of long texts.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Sets WRITING and what was set before again."""
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Scratch:
@@ -117,15 +131,9 @@ class Scratch:
 
     def keep(self, df: DataFrame, what: str = "t") -> DataFrame:
         """Write, and read back with the same schema. The write's shuffle files go when it has ended."""
-        where, before = self.path(what), self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        where = self.path(what)
+        with writing(self.spark):
             df.write.parquet(where)
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEANUP)
-            else:
-                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bucket, lower_words_of, mix
+from .common import Scratch, WordHashes, bucket, lower_words_of, mix, slices, writing
 
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000003)
 
@@ -35,6 +35,7 @@ class LmParams:
     #: Parts for each so many characters of text, salts of a context, tokens counted or scored at a time.
     chars_per_part: int = 16_000_000
     salts: int = 8
+    parts_per_salt: int = 64
     chunk: int = 1_000_000
 
 
@@ -73,12 +74,27 @@ def _unpack(blob: bytes, keys: int, values: int) -> tuple[list[np.ndarray], list
     return [np.frombuffer(blob, "<u8", n, a) for a in at[:keys]], [np.frombuffer(blob, "<i8", n, a) for a in at[keys:]]
 
 
-def _deal(kind: int, part: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _pack_pairs(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Pairs in order of their first word, which is written once for all its pairs. Counts are four bytes."""
+    (before, word), (c,) = keys, values
+    at = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(before)))
+    return np.array([len(before), len(at)], "<i8").tobytes() + before[at].astype("<u8").tobytes() + word.astype("<u8").tobytes() + size.astype("<u4").tobytes() + np.minimum(c, (1 << 32) - 1).astype("<u4").tobytes()
+
+
+def _unpack_pairs(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    n, m = np.frombuffer(blob, "<i8", 2).tolist()
+    size = np.frombuffer(blob, "<u4", m, 16 + 8 * (m + n))
+    before = np.repeat(np.frombuffer(blob, "<u8", m, 16), size)
+    return [before, np.frombuffer(blob, "<u8", n, 16 + 8 * m)], [np.frombuffer(blob, "<u4", n, 16 + 8 * (m + n) + 4 * m).astype(np.int64)]
+
+
+def _deal(kind: int, part: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray], pack=_pack) -> Iterator[pa.RecordBatch]:
     order = np.argsort(part, kind="stable")
     part, keys, values = part[order], [k[order] for k in keys], [v[order] for v in values]
     edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]]) if len(part) else [0]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "part": pa.array([int(part[a])], pa.int32()), "blob": pa.array([_pack([k[a:b] for k in keys], [v[a:b] for v in values])], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([kind], pa.int32()), "part": pa.array([int(part[a])], pa.int32()), "blob": pa.array([pack([k[a:b] for k in keys], [v[a:b] for v in values])], pa.binary())})
 
 
 def _place(where: str) -> tuple[object, str]:
@@ -203,31 +219,21 @@ def _tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np
     return out, before, sizes
 
 
-def _chunks(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
-    a = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "") + 1
-        if total >= chars:
-            yield a, i + 1
-            a, total = i + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
 def train(documents: DataFrame, where: str, parts: int, p: LmParams = LmParams()) -> Model:
-    """documents: text. Writes the model into folder `where`."""
+    """documents: text. Writes the model into folder `where`. Salts of a context grow with the parts, so that the share of a part that the
+    commonest one may take stays the same."""
+    salts = max(p.salts, parts // p.parts_per_salt)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept, size = WordHashes(), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             (before, word), (c,) = _group([np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])], [np.concatenate([k[2] for k in kept])])
-            yield from _deal(0, pair_part(before, word, parts, p.salts), [before, word], [c])
+            yield from _deal(0, pair_part(before, word, parts, salts), [before, word], [c], _pack_pairs)
 
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for x, y in _chunks(texts, 6 * p.chunk):
-                word, before, _ = _tokens(texts[x:y], hashes)
+        for b in slices(batches, size=p.chunk):
+            if b.num_rows:
+                word, before, _ = _tokens(b["text"].to_pylist(), hashes)
                 kept.append((before, word, np.ones(len(word), np.int64)))
                 size += len(word)
                 if size >= 3 * p.chunk:
@@ -250,7 +256,7 @@ def train(documents: DataFrame, where: str, parts: int, p: LmParams = LmParams()
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in by_part(batches):
-            got = [_unpack(blob, 2, 1) for _, blob in own]
+            got = [_unpack_pairs(blob) for _, blob in own]
             own.clear()
             (before, word), (c,) = _group([np.concatenate([g[0][k] for g in got]) for k in range(2)], [np.concatenate([g[1][0] for g in got])])
             del got
@@ -287,10 +293,11 @@ def train(documents: DataFrame, where: str, parts: int, p: LmParams = LmParams()
             yield pa.RecordBatch.from_pydict({"name": pa.array(list(stats)), "value": pa.array(list(stats.values()), pa.int64())})
 
     blobs = "kind int, part int, blob binary"
-    counted = documents.select("text").mapInArrow(count, blobs).repartition(parts, "part").sortWithinPartitions("part")
-    merged = counted.mapInArrow(merge, blobs).repartition(parts, "part").sortWithinPartitions("part")
-    rows = merged.mapInArrow(finish, "name string, value long").groupBy("name").agg(F.sum("value").alias("value")).collect()
-    return Model(where, parts, p.salts, {r["name"]: r["value"] for r in rows})
+    counted = documents.select("text").mapInArrow(count, blobs).repartitionById(parts, "part").sortWithinPartitions("part")
+    merged = counted.mapInArrow(merge, blobs).repartitionById(parts, "part").sortWithinPartitions("part")
+    with writing(documents.sparkSession):
+        rows = merged.mapInArrow(finish, "name string, value long").groupBy("name").agg(F.sum("value").alias("value")).collect()
+    return Model(where, parts, salts, {r["name"]: r["value"] for r in rows})
 
 
 def score(documents: DataFrame, p: LmParams = LmParams()) -> DataFrame:
@@ -303,15 +310,13 @@ def score(documents: DataFrame, p: LmParams = LmParams()) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
-            texts = b["text"].to_pylist()
-            for x, y in _chunks(texts, 6 * p.chunk):
-                word, before, sizes = _tokens(texts[x:y], hashes)
+        for own in slices(batches, 4096, 6 * p.chunk):
+            if own.num_rows:
+                word, before, sizes = _tokens(own["text"].to_pylist(), hashes)
                 logs, count = model.log10(before, word)
                 base = np.log10((count + 0.5) / (seen + 0.5 * (types + 1)))
                 at = np.cumsum(sizes) - sizes
                 total = np.add.reduceat(logs, at)
-                own = b.slice(x, y - x)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": pa.array(sizes), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(sizes), seen, np.int64)),
                     "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(total), "perplexity": pa.array(10 ** np.minimum(-total / sizes, 300)),

@@ -10,7 +10,9 @@ shortest such run that starts at it and the shortest that ends at it: a repeated
 each interval the first run, by doc_id and line, stays; the lines of all later ones are deleted. Copies may overlap in a document.
 
 A null text has no lines and stays null; an empty one is one empty line. Documents that repeat a doc_id, or have none, are
-told apart by their place in the input. Extra columns are passed on. A document may lose all its lines; its text is then empty.
+put in order by doc_id (none first) and text; of wholly equal ones any may be the first. Texts of any length are read whole, a few at
+a time. Extra columns are passed on, but for those that the counts replace. A document may lose all its lines; its text is then
+empty. An empty table gives an empty result. doc_id has to be of an integer type, or repeated (then of any type).
 """
 
 from __future__ import annotations
@@ -23,12 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch
+from .common import SPACES, Scratch, slices
 
 
 @dataclass(frozen=True)
 class LineDedupParams:
     min_words: int = 50
+    #: Rows of a class from which on they aren't shuffled to one task, and classes of this kind that may be broadcast.
+    heavy: int = 500
+    broadcast_classes: int = 100_000
 
 
 def lines_of(documents: DataFrame) -> DataFrame:
@@ -36,7 +41,7 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_intdigest
-        for b in batches:
+        for b in slices(batches):
             doc, i, h1, h2, w = [], [], [], [], []
             for d, t in zip(b["doc"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if t is None:
@@ -54,19 +59,30 @@ def lines_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc", "text").mapInArrow(run, "doc long, i int, h1 long, h2 long, w int")
 
 
-def ranked(rows: DataFrame, x: str, y: str, keep: list[str]) -> DataFrame:
+def joined(rows: DataFrame, classes: DataFrame, keys: list[str], p: LineDedupParams) -> DataFrame:
+    """rows and classes (keys, c, more), joined by the keys; c is a class's number of rows. Classes of more than p.heavy rows, of which
+    there is one for so many rows at most, are broadcast if they are counted to be few enough, and their rows aren't shuffled."""
+    big = classes.where(F.col("c") > p.heavy)
+    n = big.count()
+    if not n or n > p.broadcast_classes:
+        return rows.join(classes, keys)
+    rest = rows.join(F.broadcast(big.select(keys)), keys, "left_anti").join(classes.where(F.col("c") <= p.heavy), keys)
+    return rows.join(F.broadcast(big), keys).select(rest.columns).unionByName(rest)
+
+
+def ranked(rows: DataFrame, x: str, y: str, keep: list[str], scratch: Scratch, p: LineDedupParams) -> DataFrame:
     """`keep` and r, the rank of (x, y), of the rows whose (x, y) is met again. Classes are counted before they are sorted by range, and
-    ranks come back by a join, so a class of very many rows is no task's burden. Ranks have gaps; only their order counts."""
-    classes = rows.groupBy(x, y).agg(F.count("*").alias("c")).where("c > 1").select(x, y)
-    order = classes.repartitionByRange(x, y).sortWithinPartitions(x, y).withColumn("r", F.monotonically_increasing_id())
-    return rows.join(order, [x, y]).select(*keep, "r")
+    ranks come back by a join that deals the rows of very large classes. Ranks have gaps; only their order counts."""
+    classes = rows.groupBy(x, y).agg(F.count("*").alias("c")).where("c > 1")
+    order = scratch.keep(classes.repartitionByRange(x, y).sortWithinPartitions(x, y).withColumn("r", F.monotonically_increasing_id()), "ranks")
+    return joined(rows, order, [x, y], p).select(*keep, "r")
 
 
-def double(level: DataFrame, step: int) -> DataFrame:
+def double(level: DataFrame, step: int, scratch: Scratch, p: LineDedupParams) -> DataFrame:
     """doc, i, r of the next level: prefixes of 2 * step lines."""
     there = Window.partitionBy("doc").orderBy("i").rangeBetween(step, step)
     pairs = level.select("doc", "i", F.col("r").alias("r1"), F.max("r").over(there).alias("r2")).where("r2 IS NOT NULL")
-    return ranked(pairs, "r1", "r2", ["doc", "i"])
+    return ranked(scratch.keep(pairs, "pairs"), "r1", "r2", ["doc", "i"], scratch, p)
 
 
 def runs_of(stretches: DataFrame, p: LineDedupParams) -> DataFrame:
@@ -108,8 +124,9 @@ def runs_of(stretches: DataFrame, p: LineDedupParams) -> DataFrame:
 
 def later_copies(documents: DataFrame, scratch: Scratch, p: LineDedupParams) -> DataFrame:
     """doc, cuts: the lines to delete, as joined [a, b) intervals."""
-    rows = lines_of(documents)
-    level = scratch.keep(ranked(rows, "h1", "h2", ["doc", "i", "w"]), "level0")
+    rows = scratch.keep(lines_of(documents), "lines")
+    level = scratch.keep(ranked(rows, "h1", "h2", ["doc", "i", "w"], scratch, p), "level0")
+    scratch.drop(rows)
     # Neighbouring lines that are all met again, with enough words: nothing outside of these can repeat.
     level = level.withColumn("stretch", F.col("i") - F.row_number().over(Window.partitionBy("doc").orderBy("i")))
     level = level.withColumn("words", F.sum("w").over(Window.partitionBy("doc", "stretch"))).where(F.col("words") >= p.min_words)
@@ -120,12 +137,14 @@ def later_copies(documents: DataFrame, scratch: Scratch, p: LineDedupParams) ->
     level, later, k = level.select("doc", "i", "r"), None, 0
     while deepest is not None and k <= deepest:
         own = runs.where(F.col("k") == k).join(level.withColumnRenamed("r", "ra"), ["doc", "i"]).join(level.select("doc", F.col("i").alias("j"), F.col("r").alias("rb")), ["doc", "j"])
-        own = own.select("doc", "i", "m", "ra", "rb")
-        first = own.groupBy("m", "ra", "rb").agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("c")).where("c > 1").select("m", "ra", "rb", "first")
-        copies = scratch.keep(own.join(first, ["m", "ra", "rb"]).where("doc <> first.doc OR i <> first.i").select("doc", "i", "m"), f"copies{k}")
+        own = scratch.keep(own.select("doc", "i", "m", "ra", "rb"), f"intervals{k}")
+        first = own.groupBy("m", "ra", "rb").agg(F.min(F.struct("doc", "i")).alias("first"), F.count("*").alias("c")).where("c > 1")
+        first = scratch.keep(first, f"firsts{k}")
+        copies = scratch.keep(joined(own, first, ["m", "ra", "rb"], p).where("doc <> first.doc OR i <> first.i").select("doc", "i", "m"), f"copies{k}")
+        scratch.drop(own, first)
         later = copies if later is None else later.unionByName(copies)
         if k < deepest:
-            level = scratch.keep(double(level, 1 << k), f"level{k + 1}")
+            level = scratch.keep(double(level, 1 << k, scratch, p), f"level{k + 1}")
             if level.isEmpty():
                 break
         k += 1
@@ -157,7 +176,7 @@ def dedup(documents: DataFrame, p: LineDedupParams = LineDedupParams(), counts:
     whole = F.struct(*documents.columns)
     docs = documents.select(key.alias("doc"), whole.alias("row"))
     if not plain:  # a place in the input has to be written down to stay the same
-        docs = scratch.keep(docs.repartitionByRange("row.doc_id").sortWithinPartitions("row.doc_id").select(F.monotonically_increasing_id().alias("doc"), "row"), "numbered")
+        docs = scratch.keep(docs.repartitionByRange("row.doc_id", "row.text").sortWithinPartitions("row.doc_id", "row.text").select(F.monotonically_increasing_id().alias("doc"), "row"), "numbered")
     cuts = scratch.keep(later_copies(docs.select("doc", F.col("row.text").alias("text")), scratch, p), "cuts")
     joined = docs.join(cuts, "doc", "left").withColumn("lines", F.when(F.col("cuts").isNotNull(), F.split("row.text", "\n", -1)))
     left = F.expr("array_join(filter(lines, (x, i) -> NOT exists(cuts, c -> i >= c.a AND i < c.b)), '\\n')")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import Scratch, WordHashes, lower_words_of, mix, rolling, slices
+from .common import Scratch, WordHashes, lower_words_of, mix, rolling, slices, writing
 from .components import components
 
 
@@ -120,7 +120,8 @@ def commonness(documents: DataFrame, p: JoinParams) -> bytes:
         yield pa.RecordBatch.from_pydict({"counts": pa.array([zlib.compress(level.tobytes(), 6)], pa.binary())})
 
     one = documents.select("text").mapInArrow(count, "counts binary").repartition(16).mapInArrow(add, "counts binary")
-    return bytes(one.repartition(1).mapInArrow(classes, "counts binary").first()[0])
+    with writing(documents.sparkSession):
+        return bytes(one.repartition(1).mapInArrow(classes, "counts binary").first()[0])
 
 
 def parts_of(level: np.ndarray, p: JoinParams) -> np.ndarray:

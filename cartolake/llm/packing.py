@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 
 @dataclass(frozen=True)
@@ -137,20 +137,18 @@ def pieces(documents: DataFrame, tokenizer_path: str, p: PackingParams = Packing
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end, step = WordTokens.of_worker(tokenizer_path, p.cache_words), struct.pack("<I", p.end_id), 4 * p.capacity
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(tokens(part["text"].to_pylist())):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), step)):
-                        own = ids[s : s + step]
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(s // 4)
-                        length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(pa.array(rows, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+        for part in slices(batches, 128):
+            rows, piece, start, length, crc = [], [], [], [], []
+            for i, ids in enumerate(tokens(part["text"].to_pylist())):
+                ids += end
+                for k, s in enumerate(range(0, len(ids), step)):
+                    own = ids[s : s + step]
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(s // 4)
+                    length.append(len(own) // 4)
+                    crc.append(zlib.crc32(own))
+            yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"].take(pa.array(rows, pa.int32())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordHashes, rolling
+from .common import WordHashes, rolling, slices
 
 BOILERPLATE = (
     "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "sign up for", "subscribe to our",
@@ -109,7 +109,7 @@ def quality(documents: DataFrame, p: QualityParams = QualityParams(), clean: boo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             got = [judge(t, hashes, p) for t in b["text"].to_pylist()]
             cols = {"doc_id": b["doc_id"]}
             for i, name in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket
+from .common import bucket, slices
 
 #: Letters of other scripts and digits that imitate a-z.
 HOMOGLYPHS = dict(zip("аеорсухіјѕԁһκνοαρτυ", "aeopcyxijsdhkvoaptu", strict=True))
@@ -75,7 +75,7 @@ class Lexicon:
     terms: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, ...] = (-4.0, 3.0, 1.0, 1.0)
-    limit: int = 300_000
+    limit: int = 100_000
     _seen: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -214,7 +214,7 @@ def measure(documents: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ("do
     """Adds n_words, n_hits, weight and score; `keep` are the columns carried along with text left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [lexicon.measure(t) for t in b["text"].to_pylist()]
             cols = {k: b[k] for k in keep}
             cols |= {"n_words": pa.array([g[0] for g in got], pa.int64()), "n_hits": pa.array([g[1] for g in got], pa.int64()), "weight": pa.array([g[2] for g in got], pa.float64()), "score": pa.array([lexicon.score(g[0], g[2]) for g in got], pa.float64())}
@@ -238,7 +238,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, p: ToxicityParams = Toxi
     lexicon = fit(documents, labels, bucket("doc_id", 4) != 2, p)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = [lexicon.measure(t) for t in b["text"].to_pylist()]
             yield b.filter(pa.array([lexicon.score(g[0], g[2]) < p.threshold for g in got], pa.bool_()))
 

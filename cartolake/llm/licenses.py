@@ -1,15 +1,18 @@
 """License scans: ordered signature rules, all in DataFrame functions.
 
-Text is lower-cased and every run of ASCII non-alphanumerics becomes one space, so a signature is a pattern over words. A rule
-is looked for only in texts that hold one of its keywords as a word; every text that its pattern matches has one. Each rule has a priority, its place in the list. Of overlapping detections, one
-whose interval lies within another's is suppressed; of equal intervals the first rule's stays.
+A-Z are lower-cased and every run of ASCII non-alphanumerics becomes one space, so a signature is a pattern over words. A rule is
+looked for only in texts that hold one of its keywords as a word; every text that its pattern matches has one. Each rule has a
+priority, its place in the list. Of overlapping detections, one whose interval lies within another's is suppressed; of equal
+intervals the first rule's stays.
 
 A null text is empty: no words, no labels, score 0. Ties of interval are broken by priority; repeated rows are scanned alone.
-Texts of any length are scanned whole. Other columns are not read.
+Texts of any length are scanned whole. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +105,7 @@ def scan(documents: DataFrame) -> DataFrame:
     keywords = sorted(held)
     gate = "(?:" + "|".join(keywords) + ")"
     rows = ", ".join(f"struct('{k}' AS gate, r'{' (?:' + pattern + ')(?= )'}' AS pattern, '{label}' AS label, {i} AS priority, {conf}D AS confidence)" for i, (label, k, pattern, conf) in enumerate(table))
-    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
+    flat = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_uppercase.lower()), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
     docs = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", flat.alias("flat"))
     docs = docs.withColumn("n_words", F.when(F.col("flat") == "  ", F.lit(0)).otherwise(_spaces(F.col("flat")) - 1).cast("long"))
     parts, counts, firsts, lasts, labels = [], [], [], [], []

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: (verdict, host, path) of the rules.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 #: The labelled table: hosts and paths of unwanted sites (1) and of ordinary ones (0).
 LABELLED = tuple(

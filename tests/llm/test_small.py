@@ -208,7 +208,7 @@ def test_url_rules_and_model(spark):
     rows = [(1, "https://a.com/en/1"), (2, "http://www.EXAMPLE.com/en/7?q=1"), (3, "x.net/de/"), (4, None), (5, "http://a.example.net/de/8#t"), (6, "https://notcom/en/"), (7, "http://cheap-pills.example.org/fr/9"), (8, "http://thering.example.org/fr/9"), (9, "")]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[1] == ("a.com", "/en/1", "com/en/", "block") and got[2] == ("www.example.com", "/en/7", "example.com/en/7", "allow")
-    assert got[3] == got[4] == got[9] == ("", "", None, "allow") and got[5][2:] == ("example.net/de/8", "allow") and got[6][2] is None
+    assert got[3] == got[4] == got[9] == ("", "", None, "allow") and got[5][2:] == ("example.net/de/8", "block") and got[6][2] is None
     assert got[7][3] == "block" and got[8][3] == "allow"
 
 

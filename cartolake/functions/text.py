@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -59,8 +60,8 @@ def token_key(c: Column, limit: int = 60) -> Column:
 
 
 def search_text(c: Column) -> Column:
-    """Lower case, everything but letters and digits one space. Marks are not folded: there is no built-in for that."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    """Lower case without marks, everything but letters and digits one space."""
+    return F.trim(F.regexp_replace(fold_marks(F.lower(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+", " "))
 
 
 def trigrams(c: Column) -> Column:
@@ -99,3 +100,70 @@ def fuzzy_score(name: Column, query: str) -> Column:
     near = F.levenshtein(name, F.lit(query), k) >= 0
     token = F.exists(F.split(name, " "), lambda t: F.levenshtein(t, F.lit(query), k) >= 0)
     return F.when(d >= 0.72, 8 + d * 8).when((d >= 0.48) & (F.length(name) <= 96) & F.lit(len(query) <= 64), F.when(near, 10 + d * 6).when(token, 8 + d * 5).otherwise(0.0)).otherwise(0.0)
+
+
+def _folds() -> tuple[str, str]:
+    """Latin letters whose compatibility decomposition is one letter and marks, and these letters."""
+    pairs = []
+    for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != chr(k):
+            pairs.append((chr(k), plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def fold_marks(c: Column) -> Column:
+    """Latin letters without their marks; combining marks go."""
+    return F.regexp_replace(F.translate(c, *_folds()), r"\p{M}+", "")
+
+
+#: Intents and the words that tell them, in order.
+INTENTS = (
+    ("coffee", "coffee|cafe|espresso|tea|brunch|bakery"),
+    ("drinks", "drink|cocktail|bar|pub|beer|wine|lounge"),
+    ("meal", "dinner|lunch|food|restaurant|meal|sushi|pizza|dessert"),
+    ("outdoors", "park|walk|hike|trail|outdoor|sunset|scenic|garden|waterfront"),
+    ("culture", "museum|gallery|art|culture|exhibit|theatre|theater"),
+    ("activity", "activity|bowling|arcade|game|climb|skate|mini.?golf"),
+    ("quiet", "quiet|study|read|work|cozy|low.?key"),
+    ("romantic", "romantic|date|anniversary|special"),
+    ("casual", "casual|hangout|chill|friends"),
+)
+
+
+def intent_bucket(query: Column, category: Column, open_now: Column, accessible: Column) -> Column:
+    """The first intent whose words occur in query and category, else the category's token, else a flag's name, else null."""
+    words = F.lower(F.concat_ws(" ", query, category))
+    token = token_key(F.coalesce(category, F.lit("")))
+    out = F.when(token != "", token).when(F.coalesce(open_now, F.lit(False)), F.lit("open_now")).when(F.coalesce(accessible, F.lit(False)), F.lit("accessible"))
+    for name, pattern in reversed(INTENTS):
+        out = F.when(words.rlike(pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+#: The character references that captions are written with.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def strip_html(c: Column) -> Column:
+    """A caption without tags, its references decoded, white space in single blanks."""
+    out = F.coalesce(c, F.lit(""))
+    for name, plain in REFERENCES:
+        out = F.replace(out, F.lit(name), F.lit(plain))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]+>", " "), r"\s+", " "))
+
+
+def open_licence(c: Column) -> Column:
+    """The licence that a short name stands for; null if it isn't an open one."""
+    version = F.coalesce(F.nullif(F.regexp_extract(c, r"(\d\.\d)", 1), F.lit("")), F.lit("4.0"))
+    return (
+        F.when(c.rlike(r"(?i)^CC0(?:\s|$)"), "CC0-1.0")
+        .when(c.rlike("(?i)public domain"), "public-domain")
+        .when(c.rlike(r"(?i)CC\s*BY-SA"), F.concat(F.lit("CC-BY-SA-"), version))
+        .when(c.rlike(r"(?i)CC\s*BY"), F.concat(F.lit("CC-BY-"), version))
+    )
+
+
+def typo(c: Column) -> Column:
+    """The value with another last letter, as a search with a slip of the finger."""
+    return F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.when(F.endswith(c, F.lit("x")), "y").otherwise("x"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_bucket
+
 
 def read_lake(spark: SparkSession, path: str) -> DataFrame:
     """Parquet files united by name, with partition columns."""
@@ -76,3 +79,52 @@ def json_sequence(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def partition_value(name: str) -> Column:
     """A partition's value out of the file's path."""
     return F.regexp_extract(F.col("_metadata.file_path"), f"{name}=([^/]+)", 1)
+
+
+def write_bucketed(df: DataFrame, path: str, key: str) -> None:
+    """Documents in 4096 folders by the hash of their key, so that one is found by reading a single folder."""
+    dealt = df.withColumn("bucket", hash_bucket(F.col(key).cast("string")))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").option("compression", "zstd").mode("overwrite").parquet(path)
+
+
+def look_up(spark: SparkSession, path: str, key: str, value: object) -> DataFrame:
+    """The documents of a key out of its bucket: a partition filter, then a filter that reaches the scan. Three hex digits with one e look
+    like numbers, so the bucket's type is given."""
+    schema = spark.read.parquet(path).drop("bucket").schema.add("bucket", "string")
+    bucket = hashlib.sha256(str(value).encode()).hexdigest()[:3]
+    return spark.read.schema(schema).parquet(path).where((F.col("bucket") == bucket) & (F.col(key) == value)).drop("bucket")
+
+
+def ledger(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """name, size, sha256 of each file under a folder, hashed where the files are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed(now: DataFrame, before: DataFrame) -> DataFrame:
+    """name, state ('new', 'changed', 'gone') of the files that differ between two ledgers."""
+    both = now.select("name", F.col("sha256").alias("n")).join(before.select("name", F.col("sha256").alias("b")), "name", "full")
+    return both.where("NOT n <=> b").select("name", F.when(F.col("b").isNull(), "new").when(F.col("n").isNull(), "gone").otherwise("changed").alias("state"))
+
+
+def build_parts(spark: SparkSession, path: str, parts: Mapping[str, Callable[[], DataFrame]]) -> list[str]:
+    """Builds the named parts that aren't complete, one folder each, and returns their names. A part is complete when its write has left its
+    mark, so a build that was stopped goes on where it ended."""
+    built = []
+    for name, make in parts.items():
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            make().write.mode("overwrite").parquet(f"{path}/{name}")
+            built.append(name)
+    return built
+
+
+def bulk_export(df: DataFrame, path: str, version: str, per_file: int = 2000) -> None:
+    """Records for a search index as JSON lines, `per_file` to a file between 100 and 10,000. The version is made the current one only
+    after its records were counted again."""
+    target = f"{path}/{version}"
+    df.write.option("maxRecordsPerFile", max(100, min(10_000, per_file))).mode("overwrite").json(target)
+    found, wanted = df.sparkSession.read.text(target).count(), df.count()
+    if found != wanted:
+        raise ValueError(f"{found} records were written of {wanted}")
+    df.sparkSession.createDataFrame([(version, found)], "version string, records long").coalesce(1).write.mode("overwrite").json(f"{path}/current")

@@ -1,11 +1,12 @@
 """Quality rules, lines first.
 
-Every line with a word is tested: punctuation (symbols, shouting, repeated words), navigation (separators, short link labels)
-and boilerplate (stock phrases). Failing lines are removed; a document that loses too large a share of its words is rejected.
-Counts over the whole text are reported beside the verdict.
+Every line with a word is tested: punctuation (symbols, shouting, repeated words, and neither a mark at the end of the line nor a
+sentence's end within, unless its last word holds a digit), navigation (separators, short link labels) and boilerplate (stock phrases). Failing lines are removed; a document that
+loses too large a share of its words is rejected. Counts over the whole text are reported beside the verdict.
 
 A null text has no words. A document with fewer than `min_words` words or too much repetition fails before its lines are read.
-Ties and repeated rows need no rule: each row is judged alone.
+Ties and repeated rows need no rule: each row is judged alone. Texts of any length are read whole, a few at a time. An empty table
+gives an empty result. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -20,11 +21,25 @@ from pyspark.sql import DataFrame
 
 from .common import WordHashes, rolling, slices
 
+#: Stock phrases of pages in English, German, French and Spanish, lower-cased.
 BOILERPLATE = (
-    "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "sign up for", "subscribe to our",
-    "log in to", "enable javascript", "lorem ipsum", "share on facebook", "follow us on", "skip to content", "back to top", "read more",
+    "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "all rights reserved", "click here", "sign up for", "sign in to", "subscribe to our", "log in to",
+    "enable javascript", "lorem ipsum", "share on facebook", "share this article", "follow us on", "skip to content", "skip to main content", "back to top", "read more", "we use cookies", "accept all cookies",
+    "powered by", "leave a comment", "add to cart", "forgot your password", "your email address", "related articles",
+    "alle rechte vorbehalten", "wir verwenden cookies", "hier klicken", "jetzt anmelden", "newsletter abonnieren", "nach oben", "weiterlesen", "folgen sie uns", "zum inhalt springen", "in den warenkorb",
+    "tous droits réservés", "nous utilisons des cookies", "cliquez ici", "en savoir plus", "mentions légales", "lire la suite", "haut de page", "suivez nous", "aller au contenu", "ajouter au panier",
+    "todos los derechos reservados", "utilizamos cookies", "haga clic aquí", "leer más", "aviso legal", "política de privacidad", "volver arriba", "síguenos en", "saltar al contenido", "añadir al carrito",
 )
-NAVIGATION = ("home", "about", "contact", "menu", "login", "search", "sitemap", "next", "previous", "faq", "help", "register")
+#: Words of menus in the same languages.
+NAVIGATION = tuple(
+    "home about contact menu login logout search sitemap next previous faq help register news archive shop cart account imprint privacy terms "
+    "startseite kontakt suche anmelden weiter zurück hilfe impressum datenschutz warenkorb konto über "
+    "accueil contactez recherche connexion suivant précédent aide inscription panier compte plan "
+    "inicio contacto buscar entrar siguiente anterior ayuda registro carrito cuenta mapa".split()
+)
+#: What sentences, and finished lines, end with.
+STOPS = tuple(".!?…。！？")
+ENDS = tuple(".!?…:;)]}»”’\"'。！？")
 
 
 @dataclass(frozen=True)
@@ -45,6 +60,7 @@ class QualityParams:
 
 
 _SYMBOL = re.compile(r"[#*$%&|<>]")
+_DIGIT = re.compile("[0-9]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]")
@@ -56,6 +72,8 @@ def line_fails(line: str, p: QualityParams = QualityParams()) -> bool:
     n = len(words)
     if p.words_per_symbol * len(_SYMBOL.findall(line)) > n:
         return True
+    if not words[-1].endswith(ENDS) and not _DIGIT.search(words[-1]) and not any(w.endswith(STOPS) for w in words):
+        return True
     upper = len(_UPPER.findall(line))
     if upper * 100 > p.max_upper_percent * n and upper > 0:
         letters = len(_LETTER.findall(line))
@@ -139,7 +157,7 @@ lf AS (SELECT doc_id, i, line, len(w) AS n, w,
   len(list_filter(w, lambda x: lower(x) IN (__NAV__))) AS nav
   FROM lw WHERE len(w) > 0),
 lr AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS dup,
-  (10 * sym > n OR (letters >= 20 AND 100 * up > 40 * letters AND 100 * up > 40 * n) OR 100 * same > 30 * n OR (n <= 30 AND (boiler OR (n <= 6 AND 2 * nav > n)))) AS fails FROM lf),
+  (10 * sym > n OR NOT (right(w[-1], 1) IN (__ENDS__) OR regexp_matches(w[-1], '[0-9]') OR len(list_filter(w, lambda x: right(x, 1) IN (__STOPS__))) > 0) OR (letters >= 20 AND 100 * up > 40 * letters AND 100 * up > 40 * n) OR 100 * same > 30 * n OR (n <= 30 AND (boiler OR (n <= 6 AND 2 * nav > n)))) AS fails FROM lf),
 la AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(n) FILTER (NOT fails), 0) AS kept_words FROM lr GROUP BY doc_id),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS p, w FROM w WHERE len(w) > 8),
 gs AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 7], ' ')) AS c FROM g),
@@ -150,4 +168,4 @@ a AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(regexp_replace(w.text
   FROM w LEFT JOIN la USING (doc_id) LEFT JOIN gp USING (doc_id)),
 f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM a)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND 100 * kept_words >= 70 * n_words) AS kept, kept_words FROM f
-""".replace("__BOILER__", "|".join(BOILERPLATE)).replace("__NAV__", ", ".join(f"'{x}'" for x in NAVIGATION))
+""".replace("__BOILER__", "|".join(BOILERPLATE)).replace("__NAV__", ", ".join(f"'{x}'" for x in NAVIGATION)).replace("__ENDS__", ", ".join(f"chr({ord(x)})" for x in ENDS)).replace("__STOPS__", ", ".join(f"chr({ord(x)})" for x in STOPS))

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, bucket, lower_words_of, mix, slices, writing
 
+#: Words are 48 bits of a hash: of a billion different ones some 1,800 pairs share theirs. START and END are longer than any word's.
+WORD_BITS = np.uint64((1 << 48) - 1)
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000003)
 
 
@@ -64,29 +66,48 @@ def _group(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndar
     return [k[at] for k in keys], [np.add.reduceat(s[order].astype(np.int64), at) for s in sums]
 
 
+def _planes(a: np.ndarray, kind: str) -> bytes:
+    """An array by places of its bytes, all first ones together, then all second ones, as these are alike and compress well."""
+    return np.ascontiguousarray(a.astype(kind).view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+class _Reader:
+    """Reads what _planes wrote."""
+
+    def __init__(self, blob: bytes, at: int):
+        self.blob, self.at = blob, at
+
+    def __call__(self, n: int, kind: str) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        raw = np.frombuffer(self.blob, np.uint8, n * width, self.at).reshape(width, n)
+        self.at += n * width
+        return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
 def _pack(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    return np.int64(len(keys[0])).tobytes() + b"".join(k.astype("<u8").tobytes() for k in keys) + b"".join(v.astype("<i8").tobytes() for v in values)
+    return np.int64(len(keys[0])).tobytes() + b"".join(_planes(k, "<u8") for k in keys) + b"".join(_planes(v, "<i8") for v in values)
 
 
 def _unpack(blob: bytes, keys: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    at = [8 + 8 * n * k for k in range(keys + values)]
-    return [np.frombuffer(blob, "<u8", n, a) for a in at[:keys]], [np.frombuffer(blob, "<i8", n, a) for a in at[keys:]]
+    n, read = int(np.frombuffer(blob, "<i8", 1)[0]), _Reader(blob, 8)
+    return [read(n, "<u8") for _ in range(keys)], [read(n, "<i8") for _ in range(values)]
 
 
 def _pack_pairs(keys: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Pairs in order of their first word, which is written once for all its pairs. Counts are four bytes."""
-    (before, word), (c,) = keys, values
-    at = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.zeros(0, np.int64)
-    size = np.diff(np.append(at, len(before)))
-    return np.array([len(before), len(at)], "<i8").tobytes() + before[at].astype("<u8").tobytes() + word.astype("<u8").tobytes() + size.astype("<u4").tobytes() + np.minimum(c, (1 << 32) - 1).astype("<u4").tobytes()
+    """Pairs by their second word, which is written once for all its pairs; their first words, of which a part has few, are places in a
+    list. Counts are four bytes."""
+    befores, place = np.unique(keys[0], return_inverse=True)
+    words, of = np.unique(keys[1], return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    sizes = np.array([len(order), len(befores), len(words)], "<i8").tobytes()
+    runs = _planes(np.bincount(of, minlength=len(words)), "<u4")
+    return sizes + _planes(befores, "<u8") + _planes(words, "<u8") + runs + _planes(place[order], "<u4") + _planes(np.minimum(values[0][order], (1 << 32) - 1), "<u4")
 
 
 def _unpack_pairs(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    n, m = np.frombuffer(blob, "<i8", 2).tolist()
-    size = np.frombuffer(blob, "<u4", m, 16 + 8 * (m + n))
-    before = np.repeat(np.frombuffer(blob, "<u8", m, 16), size)
-    return [before, np.frombuffer(blob, "<u8", n, 16 + 8 * m)], [np.frombuffer(blob, "<u4", n, 16 + 8 * (m + n) + 4 * m).astype(np.int64)]
+    (n, m, k), read = np.frombuffer(blob, "<i8", 3).tolist(), _Reader(blob, 24)
+    befores, words, runs = read(m, "<u8"), read(k, "<u8"), read(k, "<u4")
+    return [befores[read(n, "<u4")], np.repeat(words, runs)], [read(n, "<u4").astype(np.int64)]
 
 
 def _deal(kind: int, part: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray], pack=_pack) -> Iterator[pa.RecordBatch]:
@@ -206,7 +227,7 @@ def _tokens(texts: list[str | None], hashes: WordHashes) -> tuple[np.ndarray, np
         ws = lower_words_of(t)
         sizes.append(len(ws) + 1)
         words.append(ws)
-    word = hashes([w for ws in words for w in ws])
+    word = hashes([w for ws in words for w in ws]) & WORD_BITS
     sizes = np.array(sizes, np.int64)
     ends = np.cumsum(sizes) - 1
     out = np.empty(int(sizes.sum()), np.uint64)

@@ -277,7 +277,7 @@ def pack(documents: DataFrame, tokenizer_path: str, p: PackingParams = PackingPa
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(documents.sparkSession, "packing")
     cut = scratch.keep(pieces(documents, tokenizer_path, p), "pieces")
-    slices = max(16, min(4096, cut.count() // 20_000))
+    slices = max(16, cut.count() // 20_000)
     cut = cut.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
     counts = cut.groupBy("length", "slice").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -75,7 +75,7 @@ class WordTokens:
 
     def _parts(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of new parts, encoded in one string: each part's last token is marked as a word's end in the vocabulary."""
-        plain = [x for x in parts if self._PLAIN.fullmatch(x)]
+        plain = [x for x in parts if x.isalpha() or self._PLAIN.fullmatch(x)]
         ids = np.array(self._one(" ".join(plain)), "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(plain):
@@ -93,7 +93,7 @@ class WordTokens:
         split, new = [], {}
         for w in words:
             t = w.decode("utf-8", "replace")
-            own = self._PART.findall(t) if self._PLAIN.fullmatch(t) else [t]
+            own = [t] if t.isalpha() or not self._PLAIN.fullmatch(t) else self._PART.findall(t)
             split.append(own)
             for x in own:
                 if x not in self.parts:
@@ -108,7 +108,7 @@ class WordTokens:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        get, split, whole = self.words.get, [], {}
+        known, split, whole = self.words, [], {}
         for i, t in enumerate(texts):
             t = t or ""
             if not t.isascii():
@@ -116,17 +116,15 @@ class WordTokens:
             if "<|" in t or "\u03a3" in t:  # special tokens keep their case, and a last sigma is lower-cased otherwise here
                 whole[i] = t
                 t = ""
-            ws = t.lower().encode("utf-8", "surrogatepass").split()
-            split.append((ws, list(map(get, ws))))
-        missing = list({w: None for ws, ids in split if None in ids for w, i in zip(ws, ids, strict=True) if i is None})
+            split.append(t.lower().encode("utf-8", "surrogatepass").split())
+        missing = set().union(*split).difference(known)
         if missing:
-            fresh = self._fresh(missing)
-            for ws, ids in split:
-                if None in ids:
-                    ids[:] = [fresh[w] if i is None else i for w, i in zip(ws, ids, strict=True)]
-            if (room := self.limit - len(self.words)) > 0:
-                self.words.update(list(fresh.items())[:room])
-        out = [b"".join(ids) for _, ids in split]
+            known.update(self._fresh(list(missing)))
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in missing:  # what doesn't fit is forgotten again
+            if len(known) <= self.limit:
+                break
+            del known[w]
         for i, t in whole.items():
             out[i] = b"".join(self._encode([w.decode("utf-8", "replace") for w in t.encode("utf-8", "surrogatepass").split()]))
         return out

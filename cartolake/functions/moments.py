@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 def daypart(ts: Column) -> Column:
+    """The hours at which parts of the day begin."""
     h = F.hour(ts)
     return F.when(h.between(5, 11), "morning").when(h.between(12, 16), "afternoon").when(h.between(17, 21), "evening").otherwise("night")
 

@@ -85,7 +85,7 @@ def token_overlap(left: Column, right: Column, stop: Sequence[str] = ()) -> Colu
 
 
 def field_score(field: Column, query: str, weight: float) -> Column:
-    """Equal 5, prefix 3.6, every query token begins some token 2.7, substring 2.1, each times the weight."""
+    """Equal 5, prefix 3.6, every query token begins some token 2.7, substring 2.1, each times the weight."""
     tokens = F.split(field, " ")
     every = F.lit(True)
     for begin in map(F.lit, query.split()):
@@ -94,7 +94,7 @@ def field_score(field: Column, query: str, weight: float) -> Column:
 
 
 def fuzzy_score(name: Column, query: str) -> Column:
-    """Typo-tolerant score of a name: trigram Dice first, then bounded edit distance of the whole and of each token."""
+    """Typo-tolerant score of a name, with fixed values: trigram Dice first, then bounded edit distance of the whole and of each token."""
     d = dice(trigrams(F.lit(query)), trigrams(name))
     k = 1 if len(query) <= 5 else 2
     near = F.levenshtein(name, F.lit(query), k) >= 0

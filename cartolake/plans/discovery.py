@@ -40,7 +40,7 @@ def discovery_feed(spark, sf_dir):
 s AS (SELECT *, (1 - least(1, d / 500.0)) * 0.55 + (1 - least(1, abs((200.0 - bearing + 540) % 360 - 180) / 180.0)) * 0.25 + 0.5 * 0.20 AS score FROM n WHERE d <= 500)
 SELECT source_id, b_id, round(d, 3) AS distance_m, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, d, b_id) AS rn FROM s) WHERE rn <= 3""")
 def photo_candidates(spark, sf_dir):
-    """Pictures near a place by distance, heading and quality; the band join runs on grid cells as large as the band."""
+    """Pictures near a place by distance, heading and quality, with fixed weights; the band join runs on grid cells as large as the band."""
     a, b = source_a(spark, sf_dir), source_b(spark, sf_dir)
     band = (F.abs(F.col("b_lat") - F.col("latitude")) <= 0.005) & (F.abs(F.col("b_lon") - F.col("longitude")) <= 0.007)
     pairs = grid_join(b, a, ("b_lat", "b_lon"), ("latitude", "longitude"), 1 / 0.007, band)

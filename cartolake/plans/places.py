@@ -89,7 +89,7 @@ SLUG_COLLISION = f"WITH {_A}, w AS (SELECT name_key, min(source_id) AS winner FR
 
 
 def geo_search_topk(spark: SparkSession, sf_dir: str, lat: float = 10.0, lon: float = 20.0, radius_m: float = 3_000_000.0, query: str = "place 1", k: int = 25) -> DataFrame:
-    """Box, exact radius, text and distance score, best k by score, distance, id. The box reaches the scan as a filter."""
+    """Box, exact radius, text and distance score, best k by score, distance, id. Positions are computed here, so the box filters after the scan; a stored column would take it as a pushed filter."""
     south, north, west, east = geo.radius_box(lat, lon, radius_m)
     a = source_a(spark, sf_dir).where(geo.in_bounds(F.col("latitude"), F.col("longitude"), south, north, west, east))
     a = a.withColumn("distance_m", geo.haversine_m(F.lit(lat), F.lit(lon), F.col("latitude"), F.col("longitude"))).where(F.col("distance_m") <= radius_m)

@@ -147,8 +147,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn_from, p: ToxicityParams =
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learn_from).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
     parts = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(p.sample_per_label) for k in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(3)).cast("int"))
-    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"])
+    sample = parts[0].unionByName(parts[1])
+    # The fold hangs on the text, so that it's the same whichever of equal texts is kept.
+    fold_of = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(3)).cast("int")
+    texts = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["text", "toxic"]).withColumn("fold", fold_of)
     prefixes = p.prefixes
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
